@@ -7,17 +7,36 @@ session names none (tests, notebooks).
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHIPPED: set[str] = set()
 _OWN: dict[str, str] = {}  # by application, where the session names no folder
 WHITESPACE = " \t\n\x0b\x0c\r"  # \x20 and \x09-\x0D
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application, so that they
+    can import it wherever the driver found it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = pathlib.Path(__file__).parents[2]
+    out = pathlib.Path(tempfile.mkdtemp(prefix="tidewater-")) / "tidewater.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted((root / "tidewater").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(out))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,6 +16,32 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.quality import score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.toxicity import score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.rules import BASE, quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *BASE, "base_failed", "kept")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.exact_dedup import exact_dedup
 
@@ -35,7 +61,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
+    return {
+        "op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op6_packing": op6_packing,
+        "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
