@@ -36,12 +36,30 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op4_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.huffman import huffman_roundtrip
+
+    return huffman_roundtrip(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.warc import warc_roundtrip
+
+    return warc_roundtrip(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.exact_dedup import exact_dedup
 
@@ -62,7 +80,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op6_packing": op6_packing,
+        "op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules,
+        "op4_huffman": op4_huffman, "op5_warc": op5_warc, "op6_packing": op6_packing,
+        "op7_licenses": op7_licenses,
         "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
 
 
