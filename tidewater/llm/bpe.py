@@ -219,6 +219,10 @@ class Bpe:
             return self.pieces, [x for x, _ in lib.pre_tokenizer.pre_tokenize_str(text)] if text else []
         return self.cache, BYTE_CHUNKS.findall(text) if self.keeps_space else text.lower().split()
 
+    def _part(self, text: str) -> tuple:
+        """(ids, None, None) where they are known at once, else (None, memory, keys)."""
+        return None, *self._chunks(text)
+
     def _learn(self, memory: dict[str, bytes], missing: list[str]) -> None:
         if memory is self.pieces:
             lists = [[x] for x in missing]
@@ -231,7 +235,7 @@ class Bpe:
         """Little-endian unsigned 32-bit ids of each text, in order."""
         waiting, chars = [], 0
         for text in texts:
-            waiting.append([(special, *((None, None) if special else self._chunks(x))) for x, special in self._segments(text)])
+            waiting.append([(special, None, None) if special else self._part(x) for x, special in self._segments(text)])
             chars += len(text)
             if chars >= STEP:
                 yield from self._flush(waiting)
@@ -255,7 +259,7 @@ class Bpe:
             if keys:
                 self._learn(memory, keys)
         for doc in waiting:
-            yield b"".join(special or b"".join(map(m.__getitem__, chunks)) for special, m, chunks in doc)
+            yield b"".join(ids if m is None else b"".join(map(m.__getitem__, chunks)) for ids, m, chunks in doc)
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the library's decode(ids, skip_special_tokens=False)."""
@@ -263,17 +267,59 @@ class Bpe:
         return b" ".join(tokens) if self.word_ends else b"".join(tokens).decode("utf-8", "replace").encode()
 
 
-class LibraryBpe(Bpe):
-    """The same texts and memory, with new chunks encoded by the tokenizers library."""
+_END = "\x1f"  # in no plain text
+
+
+class RankBpe(Bpe):
+    """The same texts through a compiled encoder that merges by the rank of the result.
+
+    Merging any two neighbours whose joint bytes are a token, lowest rank first, equals
+    merging by the file's pairs if each token is what its own bytes merge to: were two
+    tokens x, y neighbours that only the former would join, x + y alone would end as
+    [x, y] under the file's merges, and so the joint token would not be reachable.
+    That is checked for all tokens at loading; texts that are not plain, and
+    vocabularies that fail the check, take the general way.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        import tiktoken
+
+        self.fast = None
+        if len(self.greedy) != self.n:
+            return
+        names = sorted(self.greedy, key=self.greedy.get)
+        back = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}
+        if self.keeps_space:
+            ranks = {b"".join(back[c] for c in k): i for i, k in enumerate(names)}
+            self.fast, self.out = tiktoken.Encoding("bytes", pat_str=BYTE_PIECES.pattern, mergeable_ranks=ranks, special_tokens={}), self.to_id
+            return
+        # a word end is a byte that no plain text has, joined to its letter before all else
+        end = _END.encode()
+        spelt = [b"".join(back[c] for c in k[:-1]) + (back[chr(ord(k[-1]) - 0x1000)] + end if ord(k[-1]) >= 0x1000 else back[k[-1]]) for k in names]
+        ends = [i for i, k in enumerate(names) if len(k) == 1 and ord(k) >= 0x1000]
+        order = [*ends, *(i for i in range(len(names)) if not (len(names[i]) == 1 and ord(names[i]) >= 0x1000))]
+        clash = [i for i in order if spelt[i] == end]
+        self.out = self.to_id[order]
+        self.final = np.array([spelt[i].endswith(end) and i not in clash for i in order])
+        self.fast = tiktoken.Encoding("words", pat_str=f"[^{_END}]*{_END}", mergeable_ranks={spelt[i]: r for r, i in enumerate(order)}, special_tokens={})
+
+    def _part(self, text: str) -> tuple:
+        if self.keeps_space and self.fast is not None and not _ODD.search(text):
+            return self.out[self.fast.encode_to_numpy(text)].astype("<u4").tobytes(), None, None
+        return super()._part(text)
 
     def _learn(self, memory: dict[str, bytes], missing: list[str]) -> None:
-        if memory is self.pieces:  # already normalised and split
+        if memory is self.pieces or self.fast is None:  # already normalised and split
             super()._learn(memory, missing)
             return
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            found = self.library.encode_batch_fast(part, add_special_tokens=False)
-            memory.update(zip(part, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
+        lists = list(map(WORD_PIECES.findall, missing))
+        flat = [p for x in lists for p in x]
+        found = self.fast.encode_to_numpy(_END.join(flat) + _END if flat else "")
+        ends = np.append(0, np.flatnonzero(self.final[found]) + 1)
+        at = (4 * ends[np.append(0, np.cumsum(list(map(len, lists)), dtype=np.int64))]).tolist()
+        ids = self.out[found].astype("<u4").tobytes()
+        memory.update(zip(missing, (ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)), strict=True))
 
 
 _LOADED: dict[tuple[str, type], Bpe] = {}

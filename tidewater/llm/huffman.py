@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.bpe import LibraryBpe, load
+from tidewater.llm.bpe import RankBpe, load
 from tidewater.llm.common import clean_text, fresh_path, open_fs, remove
 
 MAGIC = b"TWHUFF01"
@@ -110,7 +110,7 @@ def tokens_of(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, ids): little-endian unsigned 16-bit ids with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = load(path, LibraryBpe), np.uint16(end_id).astype("<u2").tobytes()
+        bpe, end = load(path, RankBpe), np.uint16(end_id).astype("<u2").tobytes()
         for b in batches:
             ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() + end for x in bpe.encode(x.as_py() for x in b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])

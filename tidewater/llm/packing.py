@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.bpe import LibraryBpe, load
+from tidewater.llm.bpe import RankBpe, load
 from tidewater.llm.common import clean_text, materialize
 
 
@@ -30,7 +30,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
     """(doc_id, piece, start, length, ids_crc32): whole documents where they fit, else cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = load(path, LibraryBpe), np.uint32(end_id).astype("<u4").tobytes()
+        bpe, end = load(path, RankBpe), np.uint32(end_id).astype("<u4").tobytes()
         for b in batches:
             row, out = [], [[] for _ in range(4)]
             for k, ids in enumerate(bpe.encode(x.as_py() for x in b.column("text"))):
@@ -100,6 +100,8 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     spark = cut.sparkSession
     key = [F.col("length"), F.xxhash64("doc_id", "piece"), F.col("doc_id"), F.col("piece")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # written first: the range sort samples its input, which would tokenise twice
+    cut = materialize(cut, "cut")
     ranked = materialize(
         cut.repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id()), "pieces")
     # one row per partition and length; sorted, so partitions + capacity rows at most
