@@ -88,8 +88,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, name: str) -> DataFrame:
-    """At most ``bound`` labelled training rows (text, label, fold 0-9), written out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """At most ``bound`` labelled training rows (doc_id, text, label, fold 0-9).
 
     The rows are those with the smallest hash of doc_id among the labelled rows
     that are not held out, so the sample does not depend on partitioning.  The
@@ -101,13 +101,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
         .groupBy("_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64(F.col("_id"), F.lit("sample")), "_id").limit(bound)
     )
-    # min_by on a unique id: a repeated document gives one training row
     picked = docs.select(F.col("doc_id").alias("_doc"), clean_text().alias("text")).join(
         F.broadcast(ids), F.col("_doc") == F.col("_id"), "inner")
-    return materialize(
-        picked.select(F.col("_id").alias("doc_id"), "text", "label",
-                      F.pmod(F.xxhash64(F.col("_id"), F.lit("fold")), F.lit(10)).cast("int").alias("fold")),
-        name)
+    return picked.select(F.col("_id").alias("doc_id"), "text", "label",
+                         F.pmod(F.xxhash64(F.col("_id"), F.lit("fold")), F.lit(10)).cast("int").alias("fold"))
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:

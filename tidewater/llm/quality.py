@@ -128,7 +128,7 @@ def _rows(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_BOUND) -> Model | None:
-    rows, y = _rows(labelled_sample(docs, labels, "quality", bound, "quality-sample"))
+    rows, y = _rows(labelled_sample(docs, labels, "quality", bound))
     return Model(rows, y) if len(rows) else None
 
 

@@ -39,7 +39,7 @@ def _hold(d: DataFrame, **columns: Column) -> DataFrame:
     return d.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
+def with_statistics(docs: DataFrame, *others: str) -> DataFrame:
     """(doc_id, base statistics, rates) of every whole text.
 
     Repeated three-word windows are found by sorting window hashes with their
@@ -47,7 +47,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """
     t, w, h = F.col("_t"), F.col("_w"), F.col("_h")
     trimmed = F.expr(r"trim(BOTH ' \t\n\u000b\f\r' FROM _t)")
-    d = docs.select("doc_id", clean_text().alias("_t"))
+    d = docs.select("doc_id", *others, clean_text().alias("_t"))
     d = _hold(d, _w=F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")),
               _lines=F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(_SPACE))) > 0))
     n = F.size(w).cast("long")
@@ -60,7 +60,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     covered = F.size(F.array_distinct(F.flatten(F.transform(hit, lambda p: F.array(p["i"], p["i"] + 1, p["i"] + 2)))))
     lines = F.col("_lines")
     d = d.select(
-        "doc_id", n.alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        "doc_id", *others, n.alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         _count(t, r"[#*$%&|<>]").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(s.isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"),
@@ -72,7 +72,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)), "repeat_rate": F.col("n_repeat_words") / words,
         "upper_rate": F.col("_upper") / chars, "bar_rate": F.col("_bars") / words, "variety": F.when(F.col("n_words") > 1, F.log(F.col("_distinct").cast("double")) / F.log(F.col("n_words").cast("double"))).otherwise(1.0),
         "bang_rate": F.col("_bangs") / words}
-    return d.select("doc_id", *BASE, *(F.round(v, 6).alias(k) for k, v in rates.items()))
+    return d.select("doc_id", *others, *BASE, *(F.round(v, 6).alias(k) for k, v in rates.items()))
 
 
 @dataclass(frozen=True)
@@ -164,9 +164,9 @@ def _failed() -> Column:
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_BOUND) -> list[Rule]:
-    sample = labelled_sample(docs, labels, "quality", bound, "rule-sample")
+    sample = labelled_sample(docs, labels, "quality", bound)
     # the list acts only on texts that meet the base limits, so it is learned from them
-    stats = with_statistics(sample).where(~_failed()).join(sample.select("doc_id", "label", "fold"), "doc_id")
+    stats = with_statistics(sample, "label", "fold").where(~_failed())
     return learn([r.asDict() for r in stats.orderBy("doc_id").collect()])
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import clean_text, held_out, labelled_sample
+from tidewater.llm.common import clean_text, held_out, labelled_sample, materialize
 
 #: Labelled rows that are learned from, at most.
 SAMPLE_BOUND = 12_000
@@ -186,7 +186,8 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_BOUND) -> Model | None:
-    sample = labelled_sample(docs, labels, "toxic", bound, "toxic-sample")
+    # read several times; few files, since the sample is small
+    sample = materialize(labelled_sample(docs, labels, "toxic", bound).repartition(max(1, bound // 1000), "doc_id"), "toxic-sample")
     terms = lexicon(sample.where("fold < 4"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
