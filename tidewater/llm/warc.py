@@ -68,10 +68,12 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "2
     """Write one archive a task below ``folder``; returns the index, itself written first
     among what readers use."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    own = pages.select("page_id", "url", _payload().alias("payload")).withColumn("sha", F.sha1("payload"))
-    role = roles(pages, least).select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "first_id", "leads", "small")
-    found = own.join(role, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
-    again = F.row_number().over(Window.partitionBy("page_id", "sha").orderBy("url")) > 1
+    # one key without nulls for join and window, so that payloads are shuffled once
+    key = F.coalesce(F.concat(F.lit("v"), F.col("page_id").cast("string")), F.lit("n")).alias("_key")
+    own = pages.select(key, "page_id", "url", _payload().alias("payload")).withColumn("sha", F.sha1("payload"))
+    role = roles(pages, least).select(key, "sha", "first_id", "leads", "small")
+    found = own.join(role, ["_key", "sha"])
+    again = F.row_number().over(Window.partitionBy("_key", "sha").orderBy("url")) > 1
     found = found.withColumn("revisit", ~F.col("small") & (~F.col("leads") | again)).select("page_id", "url", "payload", "revisit", "first_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
