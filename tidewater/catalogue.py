@@ -1,9 +1,295 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries: programs over the test tables, and the same in DuckDB SQL.
 
+Every query runs over its whole tables.  Relations are sets, so the SQL is DISTINCT.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.functions.registry import default_registry
+from tidewater.plans.database import Database
+from tidewater.plans.evaluate import evaluate, read_query
+from tidewater.plans.program import Program
+from tidewater.sources.tables import TABLES, bind
+
+#: name -> (program, query to read, bound parameters, SQL)
+PROGRAMS: dict[str, tuple[str, str, dict, str]] = {}
+
+
+def _add(name: str, tables: str, text: str, query: str, sql: str, **bound) -> None:
+    head = "\n".join(TABLES[t] for t in tables.split())
+    PROGRAMS[name] = (head + "\n" + text, query, bound, sql)
+
+
+_add("tuple_project", "orders", "#query q(free i64 Cust, free str Status) : orders(_, Cust, Status, _, _, _).", "q",
+     "SELECT DISTINCT o_custkey AS Cust, o_orderstatus AS Status FROM orders")
+_add("repeated_variable", "nation", """
+#local pair(i32 A, i32 B) : nation(A, _, B).
+#query q(free i32 N) : pair(N, N).""", "q",
+     "SELECT DISTINCT n_nationkey AS N FROM nation WHERE n_nationkey = n_regionkey")
+_add("compare_chain", "lineitem", """
+#query q(free i64 Order, free i32 Line)
+  : lineitem(Order, _, _, Line, Quantity, Price, Discount, _, _, _, _), Quantity > 45.0, Price < 60000.0, Discount != 0.0.""", "q",
+     "SELECT DISTINCT l_orderkey AS \"Order\", l_linenumber AS Line FROM lineitem WHERE l_quantity > 45 AND l_extendedprice < 60000 AND l_discount <> 0")
+_add("compare_constant", "lineitem", """
+#query q(free i64 Order, free str Flag) : lineitem(Order, _, _, L, _, _, _, _, Flag, Status, _), L = 1, Status = "O".""", "q",
+     "SELECT DISTINCT l_orderkey AS \"Order\", l_returnflag AS Flag FROM lineitem WHERE l_linenumber = 1 AND l_linestatus = 'O'")
+_add("join_pivot_3way", "supplier nation region", """
+#query q(free i64 Supplier, free str Nation, free str Region)
+  : supplier(Supplier, _, N, _), nation(N, Nation, R), region(R, Region).""", "q",
+     "SELECT DISTINCT s_suppkey AS Supplier, n_name AS Nation, r_name AS Region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+_add("join_self", "nation", """
+#query q(free str A, free str B) : nation(X, A, R), nation(Y, B, R), X < Y.""", "q",
+     "SELECT DISTINCT a.n_name AS A, b.n_name AS B FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+_add("join_semi", "customer orders", """
+#query q(free i64 Cust, free str Name) : customer(Cust, Name, _, _, _), orders(_, Cust, "F", _, _, _).""", "q",
+     "SELECT DISTINCT c_custkey AS Cust, c_name AS Name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+_add("join_five_way", "customer orders lineitem supplier nation", """
+#query q(free str Nation, free i64 Supplier)
+  : customer(C, _, N, _, _), orders(O, C, _, _, _, "1-URGENT"), lineitem(O, _, Supplier, _, _, _, _, _, "R", _, _), supplier(Supplier, _, N, _), nation(N, Nation, _).""", "q",
+     "SELECT DISTINCT n_name AS Nation, s_suppkey AS Supplier FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = s_nationkey")
+_add("product", "supplier region", """
+#local pair(i64 S, i32 R).
+pair(S, R) @product : supplier(S, _, _, _), region(R, _).
+#query q(free i64 S, free i32 R) : pair(S, R).""", "q",
+     "SELECT DISTINCT s_suppkey AS S, r_regionkey AS R FROM supplier, region")
+_add("negate", "part lineitem", """
+#local returned(i64 P) : lineitem(_, P, _, _, Quantity, _, _, _, "R", _, _), Quantity > 40.0.
+#query q(free i64 P, free str Name) : part(P, Name, _, _, _, _), !returned(P).""", "q",
+     "SELECT DISTINCT p_partkey AS P, p_name AS Name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)")
+_add("negate_wildcard", "nation supplier", """
+#local trade(i32 N, i64 S) : supplier(S, _, N, B), B > 5000.0.
+#query q(free i32 N) : nation(N, _, _), !trade(N, _).""", "q",
+     "SELECT DISTINCT n_nationkey AS N FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+_add("union", "supplier customer", """
+#local keys(i32 N) : supplier(_, _, N, _) : customer(_, _, N, _, "BUILDING").
+#query q(free i32 N) : keys(N).""", "q",
+     "SELECT s_nationkey AS N FROM supplier UNION SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+_add("intersect_except", "supplier customer", """
+#local rich(i32 N) : customer(_, _, N, B, _), B > 9000.0.
+#local poor(i32 N) : supplier(_, _, N, B), B < 0.0.
+#query q(free i32 N, free bool Both) : rich(N), poor(N), Both = true : rich(N), !poor(N), Both = false.""", "q",
+     "WITH r AS (SELECT DISTINCT c_nationkey N FROM customer WHERE c_acctbal > 9000), p AS (SELECT DISTINCT s_nationkey N FROM supplier WHERE s_acctbal < 0) SELECT N, N IN (SELECT N FROM p) AS \"Both\" FROM r")
+_add("facts", "region", """
+#local wanted(i32 R, str Why).
+wanted(1, "one"). wanted(3, "three"). wanted(99, "none").
+#query q(free str Name, free str Why) : wanted(R, Why), region(R, Name).""", "q",
+     "SELECT r_name AS Name, why AS Why FROM region JOIN (VALUES (1, 'one'), (3, 'three'), (99, 'none')) w(r, why) ON r = r_regionkey")
+_add("enum_constant", "orders", """
+#enum Status i32. #constant Status OPEN 1. #constant Status DONE 2.
+#local coded(i64 O, Status S) : orders(O, _, "O", _, _, _), S = OPEN : orders(O, _, "F", _, _, _), S = DONE.
+#query q(free i64 O) : coded(O, DONE).""", "q", "SELECT DISTINCT o_orderkey AS O FROM orders WHERE o_orderstatus = 'F'")
+_add("agg_count", "orders", """
+#functor count_i64(aggregate i64 V, summary i64 N) @invertible.
+#query q(free i64 Cust, free i64 N) : count_i64(O, N) over (i64 Cust, i64 O) { orders(O, Cust, _, _, _, _) }.""", "q",
+     "SELECT o_custkey AS Cust, count(DISTINCT o_orderkey) AS N FROM orders GROUP BY 1")
+_add("agg_set", "lineitem", """
+#functor sum_i64(aggregate i64 V, summary i64 N) @invertible.
+#functor to_i64(bound f64 X, free i64 Y) @range(.).
+#local qty(i64 Supp, i64 Q) : lineitem(_, _, Supp, _, X, _, _, _, _, _, _), to_i64(X, Q).
+#query q(free i64 Supp, free i64 N) : sum_i64(Q, N) over qty(Supp, Q).""", "q",
+     "SELECT s AS Supp, CAST(sum(q) AS BIGINT) AS N FROM (SELECT DISTINCT l_suppkey s, CAST(trunc(l_quantity) AS BIGINT) q FROM lineitem) GROUP BY 1")
+_add("agg_min_max", "supplier nation", """
+#functor min_f64(aggregate f64 V, summary f64 N) @recompute.
+#functor max_f64(aggregate f64 V, summary f64 N) @recompute.
+#query q(free str Nation, free f64 Low, free f64 High)
+  : min_f64(B, Low) over (i32 K, f64 B) { supplier(_, _, K, B) }, max_f64(C, High) over (i32 K, f64 C) { supplier(_, _, K, C) }, nation(K, Nation, _).""", "q",
+     "SELECT n_name AS Nation, min(s_acctbal) AS Low, max(s_acctbal) AS High FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
+_add("agg_config", "orders customer", """
+#functor count_above(bound f64 T, aggregate f64 V, summary i64 N) @invertible.
+#query q(free i64 Cust, free i64 N)
+  : count_above(T, V, N) over (i64 Cust, f64 T, f64 V) { customer(Cust, _, _, T, _), orders(_, Cust, _, V, _, _) }.""", "q",
+     "SELECT c AS Cust, count(*) FILTER (WHERE v > t) AS N FROM (SELECT DISTINCT c_custkey c, c_acctbal t, o_totalprice v FROM customer JOIN orders ON o_custkey = c_custkey) GROUP BY c")
+_add("kv_last", "events", """
+#functor max_i64(bound i64 Old, bound i64 New, free i64 Out) @range(.) @recompute @commutative @associative @idempotent.
+#local latest(i64 User, mutable(max_i64) Event).
+latest(User, Event) : events(Event, _, User, _, _, _).
+#query q(free i64 User, free str Type) : latest(User, E), events(E, _, User, Type, _, _).""", "q",
+     "SELECT user_id AS User, max_by(event_type, event_id) AS Type FROM events GROUP BY 1".replace("AS User", 'AS "User"').replace("AS Type", 'AS "Type"'))
+_add("functor_one", "part", """
+#functor add_i32(bound i32 L, bound i32 R, free i32 Sum) @range(.).
+#functor mul_i32(bound i32 L, bound i32 R, free i32 P) @range(.).
+#query q(free i64 P, free i32 X) : part(P, _, _, _, Size, _), mul_i32(Size, 3, Y), add_i32(Y, -7, X), X > 0.""", "q",
+     "SELECT DISTINCT p_partkey AS P, CAST(p_size * 3 - 7 AS INTEGER) AS X FROM part WHERE p_size * 3 - 7 > 0")
+_add("functor_optional", "part", """
+#functor div_i32(bound i32 L, bound i32 R, free i32 Q) @range(?).
+#functor sub_i32(bound i32 L, bound i32 R, free i32 D) @range(.).
+#query q(free i64 P, free i32 X) : part(P, _, _, _, Size, _), sub_i32(Size, 10, D), div_i32(100, D, X).""", "q",
+     "SELECT DISTINCT p_partkey AS P, CAST(100 // (p_size - 10) AS INTEGER) AS X FROM part WHERE p_size <> 10".replace("100 // (p_size - 10)", "trunc(100.0 / (p_size - 10))"))
+_add("functor_filter", "supplier", """
+#functor is_even(bound i64 X).
+#query q(free i64 S, free bool Even) : supplier(S, _, _, _), is_even(S), Even = true : supplier(S, _, _, _), @never is_even(S), Even = false.""", "q",
+     "SELECT DISTINCT s_suppkey AS S, s_suppkey % 2 = 0 AS Even FROM supplier")
+_add("functor_flatmap", "conversations", """
+#functor words(bound str S, free str W) @range(*).
+#functor count_i64(aggregate i64 V, summary i64 N) @invertible.
+#local said(str Role, str W, i64 C) : conversations(C, _, Role, S), words(S, W).
+#query q(free str Role, free str W, free i64 N) : count_i64(C, N) over said(Role, W, C).""", "q",
+     r"SELECT role AS Role, w AS W, count(DISTINCT conv_id) AS N FROM (SELECT conv_id, role, unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) AS w FROM conversations) WHERE w <> '' GROUP BY 1, 2".replace("AS Role", 'AS "Role"'))
+_add("functor_unify", "nation", """
+#functor add_i32(bound i32 L, bound i32 R, free i32 S) @range(.).
+#query q(free i32 A, free i32 B) : nation(A, _, R), nation(B, _, R), add_i32(A, 1, X), add_i32(B, 2, Y), X = Y.""", "q",
+     "SELECT DISTINCT a.n_nationkey AS A, b.n_nationkey AS B FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey + 1 = b.n_nationkey + 2")
+_TRADE = """
+#local link(i32 A, i32 B) : supplier(S, _, A, SB), SB > 9000.0, lineitem(O, _, S, _, Q, _, _, _, _, _, _), Q > 48.0, orders(O, C, _, _, _, _), customer(C, _, B, CB, _), CB > 9000.0.
+"""
+_LINKS = "link AS (SELECT DISTINCT s_nationkey a, c_nationkey b FROM supplier JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 48 JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey AND c_acctbal > 9000 WHERE s_acctbal > 9000)"
+_add("tc_trade", "supplier lineitem orders customer", _TRADE + """
+#local tc(i32 A, i32 B) : link(A, B) : tc(A, X), tc(X, B).
+#query q(free i32 A, free i32 B) : tc(A, B).""", "q",
+     f"WITH RECURSIVE {_LINKS}, tc AS (SELECT a, b FROM link UNION SELECT tc.a, link.b FROM tc JOIN link ON tc.b = link.a) SELECT a AS A, b AS B FROM tc")
+_add("tc_linear", "supplier lineitem orders customer", _TRADE + """
+#local tc(i32 A, i32 B) : link(A, B) : tc(A, X), link(X, B).
+#query q(bound i32 A, free i32 B) : tc(A, B).
+#query q(free i32 A, bound i32 B) : tc(A, B).""", "q",
+     f"WITH RECURSIVE {_LINKS}, tc AS (SELECT a, b FROM link UNION SELECT tc.a, link.b FROM tc JOIN link ON tc.b = link.a) SELECT b AS B FROM tc WHERE a = 3", A=3)
+_add("conv_reach", "conversations", """
+#functor add_i64(bound i64 L, bound i64 R, free i64 S) @range(.).
+#local step(i64 C, i64 T, i64 U) : conversations(C, T, _, _), add_i64(T, 1, U), conversations(C, U, _, _).
+#local reach(i64 C, i64 T, i64 U) : step(C, T, U) : reach(C, T, X), reach(C, X, U).
+#query q(free i64 C, free i64 T, free i64 U) : reach(C, T, U).""", "q",
+     "WITH RECURSIVE s AS (SELECT DISTINCT a.conv_id c, a.turn t, b.turn u FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), r AS (SELECT * FROM s UNION SELECT r.c, r.t, s.u FROM r JOIN s ON r.c = s.c AND r.u = s.t) SELECT c AS C, t AS T, u AS U FROM r")
+_add("mutual_recursion", "conversations", """
+#functor add_i64(bound i64 L, bound i64 R, free i64 S) @range(.).
+#local even(i64 C, i64 T). #local odd(i64 C, i64 T).
+even(C, 0) : conversations(C, 0, _, _).
+odd(C, U) : even(C, T), add_i64(T, 1, U), conversations(C, U, _, _).
+even(C, U) : odd(C, T), add_i64(T, 1, U), conversations(C, U, _, _).
+#query q(free i64 C, free i64 T, free bool Odd) : even(C, T), Odd = false : odd(C, T), Odd = true.""", "q",
+     "WITH RECURSIVE r AS (SELECT conv_id c, turn t FROM conversations WHERE turn = 0 UNION SELECT r.c, v.turn FROM r JOIN conversations v ON v.conv_id = r.c AND v.turn = r.t + 1) SELECT DISTINCT c AS C, t AS T, t % 2 = 1 AS Odd FROM r")
+_add("recursive_negate", "supplier lineitem orders customer", _TRADE + """
+#local dead(i32 N) : supplier(_, _, N, B), B < -900.0.
+#local start(i32 N) : customer(_, _, N, B, _), B > 9990.0.
+#local live(i32 N) : start(N) : live(M), link(M, N), !dead(N).
+#query q(free i32 N) : live(N).""", "q",
+     f"WITH RECURSIVE {_LINKS}, live AS (SELECT DISTINCT c_nationkey n FROM customer WHERE c_acctbal > 9990 UNION SELECT link.b FROM live JOIN link ON link.a = live.n WHERE link.b NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < -900)) SELECT n AS N FROM live")
+_add("source_less_recursion", "region", """
+#local never_there(i32 X) : never_there(X).
+#query q(free i32 R, free bool There) : region(R, _), never_there(R), There = true : region(R, _), !never_there(R), There = false.""", "q",
+     "SELECT r_regionkey AS R, false AS There FROM region")
+_add("fibonacci", "region", """
+#functor add_i32(bound i32 L, bound i32 R, free i32 Sum) @range(.).
+#local fib(i32 N, i32 V).
+fib(0, 0). fib(1, 1).
+fib(N, V) : fib(P, PV), fib(Q, QV), add_i32(P, 1, X), add_i32(Q, 2, Y), N = X, N = Y, N < 20, add_i32(PV, QV, V).
+#query q(free i32 R, free i32 V) : region(R, _), fib(R, V).""", "q",
+     "WITH RECURSIVE f AS (SELECT 0 n, 0 a, 1 b UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 20) SELECT r_regionkey AS R, a AS V FROM region JOIN f ON n = r_regionkey")
+_add("condition", "part labels", """
+toxic_seen : labels(_, _, 1).
+huge_seen : part(_, _, _, _, Size, _), Size > 1000.
+#query q(free i64 P, free str Why)
+  : toxic_seen, part(P, _, _, _, 1, _), Why = "toxic" : !toxic_seen, part(P, _, _, _, _, _), Why = "clean"
+  : huge_seen, part(P, _, _, _, _, _), Why = "huge" : !huge_seen, part(P, _, _, _, 2, _), Why = "small".""", "q",
+     "SELECT DISTINCT p_partkey AS P, why AS Why FROM part, (VALUES ('toxic', 1), ('small', 2)) w(why, size) WHERE p_size = size AND EXISTS (SELECT 1 FROM labels WHERE toxic = 1) AND NOT EXISTS (SELECT 1 FROM part WHERE p_size > 1000)")
+_add("barrier", "customer orders nation", """
+#query q(free i64 O, free str N) : orders(O, C, "P", _, _, _), customer(C, _, K, _, _), @barrier, nation(K, N, _).""", "q",
+     "SELECT DISTINCT o_orderkey AS O, n_name AS N FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'P'")
+_add("document_flow", "documents labels", """
+#functor length(bound str S, free i32 N) @range(.).
+#functor lines(bound str S, free str L) @range(*).
+#functor count_i64(aggregate i64 V, summary i64 N) @invertible.
+#local good(i64 D) : labels(D, 1, 0).
+#local line(str L, i64 D) : documents(D, S, "en", _, _), good(D), lines(S, L), length(L, N), N > 20.
+#local shared(str L, i64 N) : count_i64(D, N) over line(L, D).
+#query q(free str L, free i64 N) : shared(L, N), N > 1.""", "q",
+     "SELECT l AS L, count(DISTINCT doc_id) AS N FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 AND lang = 'en') WHERE length(l) > 20 GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
+
+
+def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    text, query, bound, _ = PROGRAMS[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        program = Program.parse(text, default_registry())
+        found = evaluate(program, spark, bind(program, spark, sf_dir))
+        return read_query(program, query, found[program.key_of(query)], **bound)
+
+    return run
+
+
+# -- queries that need epochs --------------------------------------------------------
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("O"), F.col("o_custkey").alias("C"))
+
+
+_RETRACT = """
+#message order(i64 O, i64 C) @differential.
+#message ban(i64 C) @differential.
+#functor count_i64(aggregate i64 V, summary i64 N) @invertible.
+#local live(i64 O, i64 C) : order(O, C), !banned(C).
+#local banned(i64 C) : ban(C).
+#local per(i64 C, i64 N) : count_i64(O, N) over live(O, C).
+#query rows(free i64 C, free i64 O) : live(O, C).
+#query counts(free i64 C, free i64 N) : per(C, N).
+#message change(i64 C, i64 O) @differential : live(O, C).
+"""
+
+
+def _retract_db(spark: SparkSession, sf_dir: str, mode: str = "incremental") -> Database:
+    db, orders = Database(_RETRACT, spark, mode).init(), _orders(spark, sf_dir)
+    db.send("order", orders)
+    db.batch({"order": (None, orders.where("O % 3 = 0")), "ban": orders.where("C % 5 = 0").select("C").distinct()})
+    db.send("ban", None, orders.where("C % 10 = 0").select("C").distinct())
+    return db
+
+
+def retract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retract_db(spark, sf_dir).query("rows")
+
+
+def retract_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retract_db(spark, sf_dir).query("counts")
+
+
+def publish_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retract_db(spark, sf_dir).published["change"]
+
+
+def never_remembers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers seen before they were blocked stay behind @never and leave behind !."""
+    db = Database("""
+#message feed(i64 C). #message block(i64 C).
+#local blocked(i64 C) : block(C).
+#local plain(i64 C) : feed(C), !blocked(C).
+#local sticky(i64 C) : feed(C), @never blocked(C).
+#query q(free i64 C, free bool Sticky) : plain(C), Sticky = false : sticky(C), Sticky = true.
+""", spark).init()
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("C"))
+    db.send("feed", c.where("C % 2 = 0"))
+    db.send("block", c.where("C % 3 = 0"))
+    db.send("feed", c)
+    return db.query("q")
+
+
+def demand_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reachability for one conversation turn, materialising only what that turn needs."""
+    from tidewater.plans.demand import demand
+
+    text = PROGRAMS["conv_reach"][0].split("#local step")[0] + """
+#local step(i64 C, i64 T, i64 U) : conversations(C, T, _, _), add_i64(T, 1, U), conversations(C, U, _, _).
+#local reach(i64 C, i64 T, i64 U) : step(C, T, U) : reach(C, T, X), step(C, X, U).
+#query q(bound i64 C, bound i64 T, free i64 U) : reach(C, T, U).
+"""
+    program = demand(Program.parse(text))
+    found = evaluate(program.program, spark, bind(program.program, spark, sf_dir) | program.seed(spark, C=1, T=0))
+    return read_query(program.program, "q", found[program.program.key_of("q")], C=1, T=0)
+
+
+_EPOCHS: dict[str, tuple[Callable, str]] = {
+    "retract": (retract, "SELECT DISTINCT o_custkey AS C, o_orderkey AS O FROM orders WHERE o_orderkey % 3 <> 0 AND (o_custkey % 5 <> 0 OR o_custkey % 10 = 0)"),
+    "retract_aggregate": (retract_aggregate, "SELECT o_custkey AS C, count(*) AS N FROM orders WHERE o_orderkey % 3 <> 0 AND (o_custkey % 5 <> 0 OR o_custkey % 10 = 0) GROUP BY 1"),
+    "publish_changes": (publish_changes, "SELECT DISTINCT o_custkey AS C, o_orderkey AS O, true AS added FROM orders WHERE o_orderkey % 3 <> 0 AND o_custkey % 10 = 0"),
+    "never_remembers": (never_remembers, "SELECT c_custkey AS C, false AS Sticky FROM customer WHERE c_custkey % 3 <> 0 UNION SELECT c_custkey, true FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 <> 0"),
+    "demand_reach": (demand_reach, "WITH RECURSIVE r AS (SELECT turn t FROM conversations WHERE conv_id = 1 AND turn = 1 AND EXISTS (SELECT 1 FROM conversations WHERE conv_id = 1 AND turn = 0) UNION SELECT v.turn FROM r JOIN conversations v ON v.conv_id = 1 AND v.turn = r.t + 1) SELECT DISTINCT t AS U FROM r"),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _run(name) for name in PROGRAMS} | {name: f for name, (f, _) in _EPOCHS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: p[3] for name, p in PROGRAMS.items()} | {name: sql for name, (_, sql) in _EPOCHS.items()}

@@ -45,7 +45,7 @@ def wrap(value: Column, kind: str) -> Column:
         bits, half = 63, 0
     shift = 0 if kind[0] == "u" else half
     wide = T.DecimalType(38, 0)
-    lit = lambda n: F.lit(n).cast("string").cast(wide) if bits > 32 else F.lit(n).cast("long")
+    lit = lambda n: F.lit(str(n)).cast(wide) if bits > 32 else F.lit(n).cast("long")
     value = value.cast(wide) if bits > 32 else value.cast("long")
     return (F.pmod(value + lit(shift), lit(1 << bits)) - lit(shift)).cast(SPARK_TYPES[kind])
 
@@ -62,6 +62,10 @@ def _arithmetic(op: str, kind: str) -> Callable[..., Column]:
             if op == "mod":
                 return wrap(x % safe, kind)
             return wrap(x / safe, kind) if kind[0] == "f" else wrap(_truncated(x, safe, kind), kind)
+        if kind == "i64" and op in ("add", "sub", "mul"):  # decimals only where a long overflows
+            a, b = a.cast("long"), b.cast("long")
+            plain = {"add": F.try_add, "sub": F.try_subtract, "mul": F.try_multiply}[op](a, b)
+            return F.when(plain.isNotNull(), plain).otherwise(wrap({"add": lambda: x + y, "sub": lambda: x - y, "mul": lambda: x * y}[op](), kind))
         return wrap({"add": lambda: x + y, "sub": lambda: x - y, "mul": lambda: x * y, "min": lambda: F.least(x, y), "max": lambda: F.greatest(x, y)}[op](), kind)
 
     return make
@@ -75,7 +79,7 @@ def _truncated(x: Column, y: Column, kind: str) -> Column:
 def _aggregate(op: str, kind: str) -> Callable[..., Column]:
     total = lambda v: wrap(F.sum(v.cast(_wide(kind))), kind)
     return {
-        "sum": total, "count": lambda v: wrap(F.count(v), kind), "min": lambda v: F.min(v).cast(SPARK_TYPES[kind]), "max": lambda v: F.max(v).cast(SPARK_TYPES[kind]),
+        "sum": total, "count": lambda v: F.count(v) if kind in ("i64", "u64") else wrap(F.count(v), kind), "min": lambda v: F.min(v).cast(SPARK_TYPES[kind]), "max": lambda v: F.max(v).cast(SPARK_TYPES[kind]),
         "avg": lambda v: F.avg(v).cast(SPARK_TYPES[kind]),
         "sum_above": lambda t, v: wrap(F.sum(F.when(v > t, v).otherwise(0).cast(_wide(kind))), kind),
         "max_above": lambda t, v: F.coalesce(F.max(F.when(v > t, v)), F.lit(0)).cast(SPARK_TYPES[kind]),
