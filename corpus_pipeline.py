@@ -6,24 +6,33 @@ returns a DataFrame that is written as Parquet and read again as the next one's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import keep_rows, materialize, table
 
 
+def _judged(docs: DataFrame, score: Callable[[DataFrame], DataFrame], keep: Column) -> DataFrame:
+    """Rows of ``docs`` whose score passes, unchanged, whatever their columns are called."""
+    taken = [c for c in docs.columns if c.lower() in ("held_out", "score", "predicted")]
+    scored = score(docs.withColumnsRenamed({c: f"_own_{c}" for c in taken})).where(keep)
+    return scored.select(*(F.col(f"_own_{c}").alias(c) if c in taken else F.col(c) for c in docs.columns))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity is below one half stay."""
     from tidewater.llm.toxicity import score_toxicity
 
-    return score_toxicity(docs, table(spark, sf_dir, "labels")).where(F.col("predicted") == 0).select(*docs.columns)
+    return _judged(docs, lambda d: score_toxicity(d, table(spark, sf_dir, "labels")), F.col("predicted") == 0)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose neighbours vote at least 0.3 for good quality stay."""
     from tidewater.llm.quality import score_quality
 
-    return score_quality(docs, table(spark, sf_dir, "labels")).where(F.col("predicted") == 1).select(*docs.columns)
+    return _judged(docs, lambda d: score_quality(d, table(spark, sf_dir, "labels")), F.col("predicted") == 1)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from tidewater.llm.common import clean_text
 
 #: Remembered chunks of a worker, in each of two generations: when the young one is
 #: full it becomes the old one, from which chunks in use move back.
-CACHE_BOUND = 300_000
+CACHE_BOUND = 200_000
 #: Characters of text that are tokenised at a time.
 STEP = 1 << 21
 _PLAIN = 0x250  # below it, composition never changes a text and classes are tabled

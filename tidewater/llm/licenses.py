@@ -26,7 +26,7 @@ from tidewater.llm.common import clean_text
 #: GRAM + WINDOW - 1 words shares a fingerprint.
 GRAM, WINDOW = 3, 2
 BAND = 6  # words by which an alignment may leave its diagonal
-_MEMORY_BOUND = 400_000
+_MEMORY_BOUND = 150_000
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 # Openings and notices of public licenses, by name.

@@ -32,7 +32,7 @@ NEIGHBOURS = 15
 WORDS, SHAPES, STRUCTURE = 1024, 256, 8
 _TERMS = WORDS + SHAPES + STRUCTURE
 _WEIGHTS = {"words": 0.4, "shapes": 1.0, "structure": 1.0}
-_MEMORY_BOUND = 400_000
+_MEMORY_BOUND = 150_000
 _BLOCK = 256
 _RUNS = ((re.compile(r"[^\W\d_]*[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ]+"), "AA"), (re.compile(r"[A-ZÀ-ÖØ-Þ]"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1+"), r"\1\1"))
 

@@ -27,7 +27,7 @@ SAMPLE_BOUND = 12_000
 #: Lexicon entries of each kind, at most.
 LEXICON_BOUND = 3000
 PREFIXES = (4, 5)
-_MEMORY_BOUND = 400_000
+_MEMORY_BOUND = 150_000
 # Second-person words of the languages that the corpus holds.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deiner ihr euch euer usted ustedes tú ti tus vosotros vuestro vuestra os".split())
 _STRIP = ".,;:!?\"'()[]{}…«»¡¿|-–—"
