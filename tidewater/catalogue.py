@@ -132,8 +132,8 @@ _add("functor_flatmap", "conversations", """
      r"SELECT role AS Role, w AS W, count(DISTINCT conv_id) AS N FROM (SELECT conv_id, role, unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) AS w FROM conversations) WHERE w <> '' GROUP BY 1, 2".replace("AS Role", 'AS "Role"'))
 _add("functor_unify", "nation", """
 #functor add_i32(bound i32 L, bound i32 R, free i32 S) @range(.).
-#query q(free i32 A, free i32 B) : nation(A, _, R), nation(B, _, R), add_i32(A, 1, X), add_i32(B, 2, Y), X = Y.""", "q",
-     "SELECT DISTINCT a.n_nationkey AS A, b.n_nationkey AS B FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey + 1 = b.n_nationkey + 2")
+#query q(free i32 A, free i32 B) : nation(A, _, R), nation(B, _, R), add_i32(A, 10, X), add_i32(B, 5, Y), X = Y.""", "q",
+     "SELECT DISTINCT a.n_nationkey AS A, b.n_nationkey AS B FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey + 10 = b.n_nationkey + 5")
 _TRADE = """
 #local link(i32 A, i32 B) : supplier(S, _, A, SB), SB > 9000.0, lineitem(O, _, S, _, Q, _, _, _, _, _, _), Q > 48.0, orders(O, C, _, _, _, _), customer(C, _, B, CB, _), CB > 9000.0.
 """

@@ -136,7 +136,7 @@ class Module:
 # -- printing: what parses again to the same tree --------------------------------------
 def _term(t: Term) -> str:
     if isinstance(t, Var):
-        return t.name
+        return "_" if t.anonymous else t.name
     if isinstance(t.value, bool):
         return "true" if t.value else "false"
     if isinstance(t.value, str):

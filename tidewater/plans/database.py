@@ -9,7 +9,7 @@ re-evaluated and diffed.  Unchanged strata are not touched.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,22 +18,25 @@ from pyspark.sql import types as T
 
 from tidewater.lang.ast import Atom, DatalogError, Var
 from tidewater.plans.evaluate import derive, facts, fixpoint, merged, message_rows, read_query, rule_rows, union
+from tidewater.plans.local import Rel, TooLarge, fits, model
 from tidewater.plans.program import Program, Rule
-from tidewater.plans.storage import LOCAL_ROWS, Table, write
+from tidewater.plans.storage import LOCAL_LIMIT, LOCAL_ROWS, Table, write
 
 Rows = DataFrame | Iterable[tuple] | None
 
 
 class Database:
     """``mode``: incremental or recompute.  ``on_publish(message, rows)`` is called with
-    the net change of every published message, one boolean column ``added`` last."""
+    the net change of every published message, one boolean column ``added`` last.
+    ``local``: strata whose inputs are few rows may be evaluated on the driver."""
 
-    def __init__(self, program: Program | str, spark: SparkSession, mode: str = "incremental", max_rounds: int = 1000, on_publish: Callable[[str, DataFrame], None] | None = None):
+    def __init__(self, program: Program | str, spark: SparkSession, mode: str = "incremental", max_rounds: int = 1000, on_publish: Callable[[str, DataFrame], None] | None = None, local: bool = True):
         self.program = Program.parse(program) if isinstance(program, str) else program
-        self.spark, self.mode, self.max_rounds, self.on_publish = spark, mode, max_rounds, on_publish
+        self.spark, self.mode, self.max_rounds, self.on_publish, self.local = spark, mode, max_rounds, on_publish, local
+        self._indexed: dict[str, tuple] = {}
         self.state: dict[str, Table] = {k: Table(spark, self.program.schema(k)) for k in self.program.relations}
         self.proposals: dict[str, Table] = {}
-        self.published: dict[str, DataFrame] = {}
+        self.published = Published(self)
         self.epoch = -1
 
     # -- entry points ------------------------------------------------------------
@@ -53,7 +56,6 @@ class Database:
         if self.epoch < 0:
             raise RuntimeError("init must run before any message")
         deltas: dict[str, tuple[Table, Table]] = {}
-        small = lambda rows: not isinstance(rows, DataFrame)  # noqa: E731  rows that came from the driver
         for name, change in changes.items():
             key = self.program.key_of(name)
             rel = self.program.relations[key]
@@ -62,13 +64,10 @@ class Database:
                 raise DatalogError(f"{name} is not a received message")
             if removes is not None and not rel.differential:
                 raise DatalogError(f"{name} is not @differential, so it has no removals")
-            a, r = self._rows(key, adds), self._rows(key, removes)
-            if a is not None and r is not None:
-                a, r = a.join(r, a.columns, "left_anti"), r.join(a, r.columns, "left_anti")
-            old = self.state[key]
-            plus = write(a.join(old.df, a.columns, "left_anti") if old.count else a, old.schema, small(adds)) if a is not None else Table(self.spark, old.schema)
-            minus = write(r.join(old.df, r.columns, "left_semi"), old.schema, small(removes)) if r is not None and old.count else Table(self.spark, old.schema)
-            deltas[key] = (plus, minus)
+            a, r, old = self._table(key, adds), self._table(key, removes), self.state[key]
+            # what is on both sides cancels out, before either is held against the state
+            a, r = a.minus(r), r.minus(a)
+            deltas[key] = (a.minus(old), r.minus(r.minus(old)))
         self._epoch(deltas)
 
     def query(self, name: str, pattern: str | None = None, **bound) -> DataFrame:
@@ -91,17 +90,25 @@ class Database:
         key = self.program.key_of(name)
         return self.state[key].df.toDF(*self.program.names(key))
 
+    def fetch(self, name: str) -> set[tuple]:
+        """All rows of a relation as tuples, for relations small enough to hold."""
+        now = self.state[self.program.key_of(name)]
+        return set(now.local) if now.is_local else {tuple(r) for r in now.df.collect()}
+
     # -- pieces ------------------------------------------------------------------
-    def _rows(self, key: str, rows: Rows) -> DataFrame | None:
+    def _table(self, key: str, rows: Rows) -> Table:
+        """Distinct checked rows; those that the driver has stay there if they are few."""
+        schema = self.program.schema(key)
         if rows is None:
-            return None
-        if not isinstance(rows, DataFrame):
-            rows = list(rows)
-            if not rows:
-                return None
-            wide = T.StructType([T.StructField(f.name, T.LongType() if isinstance(f.dataType, T.IntegralType) else f.dataType) for f in self.program.schema(key)])
-            rows = self.spark.createDataFrame(rows, wide)
-        return message_rows(self.program, key, rows).distinct()
+            return Table(self.spark, schema)
+        if isinstance(rows, DataFrame):
+            return write(message_rows(self.program, key, rows).distinct(), schema, small=True)
+        checks = [_check(t, f.dataType, key) for t, f in zip(self.program.relations[key].types, schema, strict=True)]
+        rows = list(rows)
+        for row in rows:
+            if len(row) != len(checks):
+                raise DatalogError(f"{key} takes {len(checks)} values, not {len(row)}")
+        return Table.of(self.spark, schema, (tuple(c(v) for c, v in zip(checks, row, strict=True)) for row in rows if None not in row))
 
     def _small(self, *keys: str) -> bool:
         """Whether these relations are so small that the driver may hold results."""
@@ -124,21 +131,16 @@ class Database:
             if not everything and not inputs & set(deltas):
                 continue
             deltas |= {k: d for k, d in self._stratum(scc, before, deltas, everything).items() if d[0].count or d[1].count}
-        self.published = {}
+        self.published = Published(self)
         for key, rel in self.program.relations.items():
             if rel.kind == "message" and self.program.rules_of(key):
-                plus, minus = deltas.get(key, (Table(self.spark, self.program.schema(key)),) * 2)
-                out = plus.df.withColumn("added", F.lit(True)).unionByName(minus.df.withColumn("added", F.lit(False)))
                 name = key.rpartition("/")[0]
-                self.published[name] = out.toDF(*self.program.names(key), "added")
+                self.published.changes[name] = (key, *deltas.get(key, (Table(self.spark, self.program.schema(key)),) * 2))
                 if self.on_publish and key in deltas:
                     self.on_publish(name, self.published[name])
 
     def _apply(self, key: str, plus: Table, minus: Table) -> None:
-        now = self.state[key]
-        if minus.count:
-            now = write(now.df.join(minus.df, now.df.columns, "left_anti"), now.schema, self._small(key))
-        self.state[key] = now.plus(plus)
+        self.state[key] = self.state[key].minus(minus).plus(plus)
 
     def _stratum(self, scc: list[str], before: dict[str, Table], deltas: dict, everything: bool) -> dict[str, tuple[Table, Table]]:
         rules = [r for k in scc for r in self.program.rules_of(k)]
@@ -146,6 +148,11 @@ class Database:
             return {}
         sticky = any(r.sticky for r in rules)
         special = any(r.aggregates for r in rules) or any(self.program.relations[k].merge for k in scc)
+        if self.local and not sticky and not special and fits(rules) and all(self.state[u].is_local for u in {u for r in rules for u, _ in r.uses()} | set(scc)):
+            try:
+                return self._on_driver(scc)
+            except TooLarge:
+                pass
         if sticky or (self.mode == "incremental" and not everything and not special):
             return self._maintain(scc, before, deltas, everything)
         old = {k: self.state[k] for k in scc}
@@ -164,6 +171,25 @@ class Database:
             out[k] = (plus, minus)
         return out
 
+    def _on_driver(self, scc: list[str]) -> dict[str, tuple[Table, Table]]:
+        """From scratch, on the driver: for small strata that beats any chain of jobs."""
+
+        def at(key: str) -> Rel:
+            # an input's indexes are kept until it changes
+            now = self.state[key].local
+            if self._indexed.get(key, (None,))[0] is not now:
+                self._indexed[key] = (now, Rel(now))
+            return self._indexed[key][1]
+
+        found, out = model(self.program, scc, at, max(self.max_rounds, LOCAL_LIMIT)), {}
+        for k in scc:
+            old, new = self.state[k].local, found[k]
+            schema = self.program.schema(k)
+            out[k] = (Table(self.spark, schema, (), len(p := new - old), p), Table(self.spark, schema, (), len(m := old - new), m))
+            if p or m:
+                self.state[k] = Table(self.spark, schema, (), len(new), new)
+        return out
+
     def _derive(self, key: str, small: bool) -> Table:
         rel = self.program.relations[key]
         if not rel.merge:
@@ -220,7 +246,7 @@ class Database:
             raise RuntimeError(f"{scc}: over-deletion did not end")
 
         # 2. what is left, and what of the doomed other rules still derive from it
-        left = {k: write(old[k].df.join(doomed[k].df, old[k].df.columns, "left_anti"), schema[k], small) if doomed[k].count else old[k] for k in scc}
+        left = {k: old[k].minus(doomed[k]) for k in scc}
         now = lambda k: left[k].df if k in left else self.state[k].df
         found = []
         for r in rules:
@@ -251,13 +277,57 @@ class Database:
             self.state[k] = new[k]
             plus = minus = empty[k]
             if added[k].count:
-                plus = write(added[k].df.join(doomed[k].df, added[k].df.columns, "left_anti"), schema[k], small) if doomed[k].count else added[k]
+                plus = added[k].minus(doomed[k])
             if doomed[k].count:
-                minus = write(doomed[k].df.join(added[k].df, doomed[k].df.columns, "left_anti"), schema[k], small) if added[k].count else doomed[k]
+                minus = doomed[k].minus(added[k])
             out[k] = (plus, minus)
         return out
 
 
+class Published(Mapping):
+    """The last epoch's net changes by message: a DataFrame each, or rows by ``fetch``."""
+
+    def __init__(self, db: Database):
+        self.db, self.changes = db, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        key, plus, minus = self.changes[name]
+        out = plus.df.withColumn("added", F.lit(True)).unionByName(minus.df.withColumn("added", F.lit(False)))
+        return out.toDF(*self.db.program.names(key), "added")
+
+    def __iter__(self):
+        return iter(self.changes)
+
+    def __len__(self) -> int:
+        return len(self.changes)
+
+    def fetch(self, name: str) -> tuple[set[tuple], set[tuple]]:
+        """(added, removed) rows."""
+        _, *both = self.changes[name]
+        return tuple(set(t.local) if t.is_local else {tuple(r) for r in t.df.collect()} for t in both)
+
+
+def _check(kind: str | None, spark_type: T.DataType, key: str) -> Callable:
+    """The conversion of one value that the driver was given, refusing what does not fit."""
+    if kind in ("f32", "f64"):
+        def number(v):
+            v = float(v)
+            if v != v:
+                raise DatalogError(f"{key}: NaN is not a value")
+            return v + 0.0  # both zeros are one value
+        return number
+    if kind and kind[0] in "iu" and kind[1:].isdigit():
+        bits = int(kind[1:])
+        low, high = (0, (1 << min(bits, 63)) - 1) if kind[0] == "u" else (-(1 << (bits - 1)), (1 << (bits - 1)) - 1)
+
+        def whole(v):
+            if not low <= v <= high:
+                raise DatalogError(f"{key}: {v} is out of the range of {kind}")
+            return int(v)
+        return whole
+    return lambda v: v
+
+
 def replace_atom(a: Atom) -> Atom:
     """The same atom, not negated."""
     out = Atom(a.name, a.args, a.place)

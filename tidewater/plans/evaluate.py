@@ -15,15 +15,11 @@ from pyspark.sql import functions as F
 from tidewater.lang.ast import Atom, Var
 from tidewater.operators.body import Body
 from tidewater.plans.program import Program, Rule
-from tidewater.plans.storage import LOCAL_ROWS, Table, write
+from tidewater.plans.storage import LOCAL_ROWS, DivergenceError, Table, write
 
 Lookup = Callable[[str], DataFrame]
 
 
-class DivergenceError(RuntimeError):
-    """A recursive stratum did not reach its fixpoint in the allowed rounds."""
-
-
 def rule_rows(program: Program, spark: SparkSession, rule: Rule, at: Lookup, override: dict[int, DataFrame] | None = None, guard: DataFrame | None = None, bound: dict | None = None) -> DataFrame:
     """Head rows of one rule; ``override`` replaces the relation at some positions."""
     override = override or {}

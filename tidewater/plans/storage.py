@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass
+from collections.abc import Iterable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 #: Pieces of a relation after which it is rewritten as one.
 MAX_PIECES = 24
-#: Rows of a relation that may stay on the driver.
-LOCAL_ROWS = 4000
+#: Rows of a result that may be fetched to the driver.
+LOCAL_ROWS = 10_000
+#: Rows that may stay there where the driver made them itself.
+LOCAL_LIMIT = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,30 +28,42 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-@dataclass(frozen=True)
+class DivergenceError(RuntimeError):
+    """A recursive stratum did not reach its fixpoint in the allowed rounds."""
+
+
 class Table:
     """Disjoint pieces of one relation, and how many rows they have.
 
-    Pieces are Parquet files, but for at most LOCAL_ROWS rows that stay on the driver so
-    that a small epoch costs no files; the bound does not grow with the data.
+    Pieces are Parquet files, but for a bounded number of rows that stay on the driver so
+    that small epochs cost no job; the bound does not grow with the data.
     """
 
-    spark: SparkSession
-    schema: T.StructType
-    paths: tuple[str, ...] = ()
-    count: int = 0
-    local: pa.Table | None = None
+    def __init__(self, spark: SparkSession, schema: T.StructType, paths: tuple[str, ...] = (), count: int = 0, local: frozenset = frozenset()):
+        self.spark, self.schema, self.paths, self.count, self.local = spark, schema, paths, count, local
+        self._df: DataFrame | None = None
+
+    @classmethod
+    def of(cls, spark: SparkSession, schema: T.StructType, rows: Iterable[tuple]) -> Table:
+        """Rows that the driver has; more than LOCAL_LIMIT of them are written."""
+        rows = frozenset(rows)
+        out = cls(spark, schema, (), len(rows), rows)
+        return write(out.df, schema) if len(rows) > LOCAL_LIMIT else out
+
+    @property
+    def is_local(self) -> bool:
+        return not self.paths
 
     @property
     def df(self) -> DataFrame:
-        parts = []
-        if self.paths:
-            parts.append(self.spark.read.schema(self.schema).parquet(*self.paths))
-        if self.local is not None:
-            parts.append(self.spark.createDataFrame(self.local, self.schema))
-        if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        if self._df is None:
+            parts = []
+            if self.paths:
+                parts.append(self.spark.read.schema(self.schema).parquet(*self.paths))
+            if self.local or not parts:
+                parts.append(self.spark.createDataFrame(list(self.local), self.schema))
+            self._df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return self._df
 
     def plus(self, other: Table) -> Table:
         """Both pieces; the caller knows that they are disjoint."""
@@ -57,11 +71,15 @@ class Table:
             return self
         if not self.count:
             return other
-        locals_ = [t.local for t in (self, other) if t.local is not None]
-        local = pa.concat_tables(locals_) if locals_ else None
-        out = Table(self.spark, self.schema, self.paths + other.paths, self.count + other.count, local)
-        full = local is not None and local.num_rows > LOCAL_ROWS
-        return write(out.df, self.schema) if full or len(out.paths) > MAX_PIECES else out
+        out = Table(self.spark, self.schema, self.paths + other.paths, self.count + other.count, self.local | other.local)
+        return write(out.df, self.schema) if len(out.local) > LOCAL_LIMIT or len(out.paths) > MAX_PIECES else out
+
+    def minus(self, other: Table) -> Table:
+        if not other.count or not self.count:
+            return self
+        if self.is_local and other.is_local:
+            return Table.of(self.spark, self.schema, self.local - other.local)
+        return write(self.df.join(other.df, self.schema.names, "left_anti"), self.schema)
 
 
 def write(df: DataFrame, schema: T.StructType, small: bool = False) -> Table:
@@ -71,11 +89,11 @@ def write(df: DataFrame, schema: T.StructType, small: bool = False) -> Table:
     proves wrong, the rows are written after all."""
     spark = df.sparkSession
     if small:
-        rows = df.limit(LOCAL_ROWS + 1).toArrow()
-        if rows.num_rows <= LOCAL_ROWS:
-            loose = pa.schema([f.with_nullable(True) for f in rows.schema])  # so that pieces agree
-            return Table(spark, schema, (), rows.num_rows, rows.cast(loose) if rows.num_rows else None)
+        rows = df.limit(LOCAL_ROWS + 1).collect()
+        if len(rows) <= LOCAL_ROWS:
+            return Table(spark, schema, (), len(rows), frozenset(tuple(r) for r in rows))
     path = f"{shared_folder(spark)}/tidewater-state-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    n = spark.read.schema(schema).parquet(path).count()
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    n = seen.get["n"]
     return Table(spark, schema, (path,), n) if n else Table(spark, schema)
