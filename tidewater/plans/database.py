@@ -3,20 +3,22 @@
 After every epoch the state equals a from-scratch evaluation of the facts that are
 left, except for @never, which remembers what it let through.  In incremental mode a
 stratum whose inputs changed is maintained by over-deleting with the old state,
-re-deriving survivors and inserting semi-naively; strata with aggregates or merges are
-re-evaluated and diffed.  Unchanged strata are not touched.
+re-deriving survivors and inserting semi-naively; aggregates and merges run again over
+the groups that a change touched.  Unchanged strata are not touched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.lang.ast import Atom, DatalogError, Var
+from tidewater.lang.ast import Atom, DatalogError, Over, Var
 from tidewater.plans.evaluate import derive, facts, fixpoint, merged, message_rows, read_query, rule_rows, union
 from tidewater.plans.local import Rel, TooLarge, fits, model
 from tidewater.plans.program import Program, Rule
@@ -147,7 +149,10 @@ class Database:
         if any(r.forcing and self._needs_bound(r) for r in rules):
             return {}
         sticky = any(r.sticky for r in rules)
-        special = any(r.aggregates for r in rules) or any(self.program.relations[k].merge for k in scc)
+        grouped = len(scc) == 1 and (rules[0].aggregates or bool(self.program.relations[scc[0]].merge))
+        if grouped and (self.mode == "incremental" or self.program.relations[scc[0]].merge):
+            return self._regroup(scc[0], rules, deltas)
+        special = any(r.aggregates for r in rules)
         if self.local and not sticky and not special and fits(rules) and all(self.state[u].is_local for u in {u for r in rules for u, _ in r.uses()} | set(scc)):
             try:
                 return self._on_driver(scc)
@@ -191,17 +196,51 @@ class Database:
         return out
 
     def _derive(self, key: str, small: bool) -> Table:
-        rel = self.program.relations[key]
-        if not rel.merge:
-            return write(derive(self.program, self.spark, key, self._now).distinct(), self.program.schema(key), small)
-        # live proposals keep the epoch in which they were first seen
-        rules = self.program.rules_of(key)
-        live = union(facts(self.program, self.spark, rules) + [rule_rows(self.program, self.spark, r, self._now) for r in rules if r.body]).distinct()
-        schema = T.StructType([*self.program.schema(key).fields, T.StructField("_epoch", T.LongType())])
-        old = self.proposals.get(key, Table(self.spark, schema))
-        dated = live.join(old.df, live.columns, "left").withColumn("_epoch", F.coalesce("_epoch", F.lit(self.epoch).cast("long")))
-        self.proposals[key] = write(dated.select(*schema.names), schema, small)
-        return write(merged(self.program, key, self.proposals[key].df), self.program.schema(key), small)
+        return write(derive(self.program, self.spark, key, self._now).distinct(), self.program.schema(key), small)
+
+    def _regroup(self, key: str, rules: list[Rule], deltas: dict) -> dict[str, tuple[Table, Table]]:
+        """Aggregates and merges again over the groups that a change touched, and only those."""
+        rel, schema, old = self.program.relations[key], self.program.schema(key), self.state[key]
+        atom = next(a for x in rules[0].body for a in ([x.source] if isinstance(x, Over) else [x]))
+        plus, minus = deltas.get(atom.key, (Table(self.spark, self.program.schema(atom.key)),) * 2)
+        names = [a.name for a in atom.args]
+        keys = [n for k, n in enumerate(names) if (k != rel.mutable if rel.merge else n in {a.name for a in rules[0].args if isinstance(a, Var)})]
+        if not rel.merge:  # the groups' columns are the keys, then the summaries
+            keys = [a.name for a in rules[0].args if a.name in names]
+        at = [names.index(n) for n in keys]
+        mine = [k for k, a in enumerate(rules[0].args) if a.name in keys]
+        small = self._small(atom.key, key)
+        source = self._dated(key, atom.key, plus, minus, small) if rel.merge else self.state[atom.key]
+
+        def touched(df: DataFrame, columns: list[int]) -> DataFrame:
+            if not keys or not old.count:
+                return df
+            changed = plus.df.unionByName(minus.df).select(*(F.col(f"c{k}").alias(f"_k{i}") for i, k in enumerate(at))).distinct()
+            on = [F.col(f"c{k}") == F.col(f"_k{i}") for i, k in enumerate(columns)]
+            return df.join(changed, reduce(and_, on), "left_semi")
+
+        rows = touched(source.df, at)
+        if rel.merge:
+            found = merged(self.program, key, rows)
+        else:
+            found = rule_rows(self.program, self.spark, rules[0], lambda k: rows if k == atom.key else self.state[k].df)
+        new = write(found.distinct(), schema, small)
+        before = write(touched(old.df, mine), schema, small) if old.count else old
+        out = (new.minus(before), before.minus(new))
+        self._apply(key, *out)
+        return {key: out}
+
+    def _dated(self, key: str, proposals: str, plus: Table, minus: Table, small: bool) -> Table:
+        """Live proposals with the epoch in which each was first seen."""
+        schema = T.StructType([*self.program.schema(proposals).fields, T.StructField("_epoch", T.LongType())])
+        now = self.proposals.get(key, Table(self.spark, schema))
+        columns = self.program.schema(proposals).names
+        if minus.count:
+            now = write(now.df.join(minus.df, columns, "left_anti").select(*schema.names), schema, small)
+        if plus.count:
+            now = now.plus(write(plus.df.withColumn("_epoch", F.lit(self.epoch).cast("long")), schema, small))
+        self.proposals[key] = now
+        return now
 
     # -- maintenance -------------------------------------------------------------
     def _maintain(self, scc: list[str], before: dict[str, Table], deltas: dict, everything: bool) -> dict[str, tuple[Table, Table]]:
