@@ -120,3 +120,18 @@ def test_any_text_parses_or_is_diagnosed(text):
         parse(text)
     except DatalogError:
         pass
+
+
+def test_command_line(tmp_path, capsys, spark):
+    from tidewater.__main__ import main
+
+    (tmp_path / "p.dr").write_text("#message edge(u64 A, u64 B) @differential.\n#local tc(u64 A, u64 B) : edge(A, B) : tc(A, X), edge(X, B).\n#query from(bound u64 A, free u64 B) : tc(A, B).\n")
+    (tmp_path / "s.txt").write_text("batch\n+ edge 1 2\n+ edge 2 3\nend\nbatch\n- edge 1 2\nend\n")
+    path = str(tmp_path / "p.dr")
+    assert main([path, "--explain", "--dot", "--print", "--demand"]) == 0
+    out = capsys.readouterr().out
+    assert "asked_tc_2" in out and "digraph" in out and "recursive" in out
+    assert main([path, "--run", str(tmp_path / "s.txt")]) == 0
+    assert capsys.readouterr().out == "from\t2 3\ntc\t2 3\n"
+    (tmp_path / "p.dr").write_text("#message edge(u64 A")
+    assert main([path]) == 1 and "1:20" in capsys.readouterr().err
