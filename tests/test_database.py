@@ -188,15 +188,17 @@ weight(A, B, W) : add_edge(A, B, W).
 """
 
 
-def test_merge_keeps_the_last_and_aggregates_follow(spark):
-    db = make(spark, AVERAGE, FAST[0])
+@pytest.mark.parametrize("way", WAYS[:2])
+def test_merge_keeps_the_last_and_aggregates_follow(spark, way):
+    db = make(spark, AVERAGE, way)
     db.send("add_edge", [(1, 2, 10), (3, 2, 20), (5, 4, 100)])
     assert db.fetch("average") == {(2, 10), (2, 20), (4, 100)} or db.query("average", X=2).head().Avg == 15
     db.send("add_edge", [(1, 2, 30)])
     assert db.fetch("weight") == {(1, 2, 30), (3, 2, 20), (5, 4, 100)}
 
 
-def test_aggregates(spark):
+@pytest.mark.parametrize("way", WAYS[:2])
+def test_aggregates(spark, way):
     text = """
 #functor count_i32(aggregate i32 V, summary i32 N). #functor sum_above(bound i32 T, aggregate i32 V, summary i32 S) @invertible. #functor max_above(bound i32 T, aggregate i32 V, summary i32 S) @recompute.
 #message reading(i32 S, i32 V) @differential. #message threshold(i32 S, i32 T).
@@ -206,7 +208,7 @@ def test_aggregates(spark):
 #query p(free i32 S, free i32 N) : per(S, N). #query a(free i32 S, free i32 N) : above(S, N).
 #message tops(i32 S, i32 N) @differential : top(S, N).
 """
-    db = make(spark, text, FAST[0])
+    db = make(spark, text, way)
     db.batch({"reading": [(1, 20), (1, 30), (1, 5), (2, 60), (2, 100)], "threshold": [(1, 10), (2, 50)]})
     assert db.fetch("per") == {(1, 3), (2, 2)} and db.fetch("above") == {(1, 50), (2, 160)} and db.fetch("top") == {(1, 30), (2, 100)}
     db.send("reading", None, [(2, 100)])
@@ -217,6 +219,26 @@ def test_aggregates(spark):
     assert db.fetch("per") == {(1, 4)}
 
 
+@pytest.mark.parametrize("way", WAYS)
+def test_odd_recursions(spark, way):
+    text = """
+#message m(u32 A) @differential. #message n(u32 A, f64 B) @differential.
+#local same(A) : m(A) : same(A).
+#local grow(u32 A, u32 B). grow(A, B) @product : m(A), m(B) : grow(A, _), grow(_, B).
+#local twice(u32 A, f64 B) : n(A, B), n(A, B).
+#local half(u32 A, f64 B). half(A, 5) : m(A). half(7, B) : n(_, B), B < 2.
+#local none(u32 A) : none(A).
+#local all(u32 A) : m(A), !none(A).
+#query q(free u32 A) : same(A). #query g(free u32 A, free u32 B) : grow(A, B). #query t(free u32 A, free f64 B) : twice(A, B). #query h(free u32 A, free f64 B) : half(A, B). #query a(free u32 A) : all(A).
+"""
+    db = make(spark, text, way)
+    db.batch({"m": [(1,), (2,)], "n": [(3, 1.5), (4, 2.5)]})
+    db.batch({"m": ([(3,)], [(1,)])})
+    assert db.fetch("same") == {(2,), (3,)} == db.fetch("all") and db.fetch("grow") == {(a, b) for a in (2, 3) for b in (2, 3)}
+    assert db.fetch("twice") == {(3, 1.5), (4, 2.5)} and db.fetch("half") == {(2, 5.0), (3, 5.0), (7, 1.5)}
+    assert db.relation("half").count() == 3
+
+
 def test_forcing_query(spark):
     text = """
 #functor mul_i64(bound i64 A, bound i64 B, free i64 C) @range(.).
@@ -239,14 +261,15 @@ def test_functor_that_nothing_feeds_is_computed_at_the_query(spark):
     assert [db.query("next", T=t).head().N for t in (4, 9)] == [7, 12]
 
 
-def test_integer_functors_wrap_and_division_by_zero_has_no_row(spark):
+@pytest.mark.parametrize("way", WAYS[:2])
+def test_integer_functors_wrap_and_division_by_zero_has_no_row(spark, way):
     text = """
 #functor add_i32(bound i32 A, bound i32 B, free i32 C) @range(.). #functor mul_i64(bound i64 A, bound i64 B, free i64 C) @range(.). #functor div_i32(bound i32 A, bound i32 B, free i32 C) @range(?).
 #functor add_u8(bound u8 A, bound u8 B, free u8 C) @range(.).
 #message m(i32 X, i64 Y, u8 Z).
 #query a(free i32 X) : m(Y, _, _), add_i32(Y, 1, X). #query b(free i64 X) : m(_, Y, _), mul_i64(Y, 3, X). #query c(free i32 X) : m(Y, _, _), div_i32(-7, Y, X). #query d(free u8 X) : m(_, _, Y), add_u8(Y, 1, X).
 """
-    db = make(spark, text, FAST[0])
+    db = make(spark, text, way)
     db.send("m", [(2147483647, 2**62, 255), (0, -5, 1), (2, 1, 7)])
     assert db.fetch("a") == {(-2147483648,), (1,), (3,)} and db.fetch("c") == {(0,), (-3,)} and db.fetch("d") == {(0,), (2,), (8,)}
     assert db.fetch("b") == {((3 * 2**62 + 2**63) % 2**64 - 2**63,), (-15,), (3,)}
@@ -274,6 +297,41 @@ def test_flatmap_optional_and_negated_functors(spark):
     assert db.fetch("b") == {(2, 2), (4, 6), (5, 8)} and db.fetch("same") == {(1,)} and db.fetch("e") == {(1,), (3,)}
 
 
+FLOW = """
+#functor add_i64(bound i64 A, bound i64 B, free i64 C) @range(.). #functor mod_i64(bound i64 A, bound i64 B, free i64 C) @range(?). #functor is_even(bound i64 X).
+#functor sum_i64(aggregate i64 V, summary i64 S) @invertible. #functor min_i64(aggregate i64 V, summary i64 S) @recompute. #functor count_i64(aggregate i64 V, summary i64 S) @invertible.
+#functor max_i64(bound i64 A, bound i64 B, free i64 C) @range(.) @recompute.
+#message m(i64 K, i64 V) @differential.
+#local best(i64 K, mutable(max_i64) V). best(K, V) : m(K, V).
+#local shifted(i64 K, i64 V) : m(K, V), is_even(V), add_i64(V, 100, V2), V = V2 : m(K, W), add_i64(W, 7, V), @never is_even(W).
+#local rest(i64 K, i64 R) : best(K, V), mod_i64(V, K, R).
+#local stats(i64 K, i64 S, i64 L) : sum_i64(V, S) over shifted(K, V), min_i64(W, L) over (i64 K, i64 W) { m(K, W), W > 1 }.
+#local total(i64 N) : count_i64(K, N) over (i64 K) { m(K, _) }.
+#query q(free i64 K, free i64 S, free i64 L) : stats(K, S, L).
+#message out(i64 K, i64 R) @differential : rest(K, R).
+#query t(free i64 N) : total(N).
+"""
+
+
+@pytest.mark.parametrize("way,epochs", [(WAYS[0], 25), (WAYS[1], 4)])
+def test_functors_and_groups_equal_brute_force(spark, way, epochs):
+    rng, db, facts, before = random.Random(7), make(spark, FLOW, way), set(), set()
+    for _ in range(epochs):
+        adds, removes = ({(rng.randrange(4), rng.randrange(9)) for _ in range(rng.randrange(6))} for _ in range(2))
+        db.send("m", sorted(adds), sorted(removes))
+        facts = (facts | (adds - removes)) - (removes - adds)
+        keys = {k for k, _ in facts}
+        best = {k: max(v for x, v in facts if x == k) for k in keys}
+        shifted = {(k, v + 7) for k, v in facts if v % 2}
+        lows = {k: min((v for x, v in facts if x == k and v > 1), default=None) for k in keys}
+        assert db.fetch("best") == set(best.items()) and db.fetch("shifted") == shifted
+        rest = {(k, v % k) for k, v in best.items() if k}
+        assert db.fetch("rest") == rest and db.published.fetch("out") == (rest - before, before - rest)
+        assert db.fetch("stats") == {(k, sum(v for x, v in shifted if x == k), lows[k]) for k in {k for k, _ in shifted} if lows[k] is not None}
+        assert db.fetch("total") == ({(len(keys),)} if keys else set())
+        before = rest
+
+
 def test_divergence_is_reported(spark):
     text = "#functor add_i64(bound i64 A, bound i64 B, free i64 C) @range(.). #message m(i64 X). #local up(i64 X) : m(X) : up(Y), add_i64(Y, 1, X). #query q(free i64 X) : up(X)."
     db = Database(text, spark, max_rounds=4).init()

@@ -8,6 +8,7 @@ zero gives no row, whatever Spark's ANSI mode says.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -86,6 +87,29 @@ def _aggregate(op: str, kind: str) -> Callable[..., Column]:
         "count_above": lambda t, v: wrap(F.count(F.when(v > t, v)), kind)}[op]
 
 
+def wrapped(value: int | float | None, kind: str):
+    """``wrap`` for one value on the driver."""
+    if value is None or kind not in _BITS:
+        return value
+    bits, low = (63, 0) if kind == "u64" else (_BITS[kind], 0 if kind[0] == "u" else 1 << (_BITS[kind] - 1))
+    return (value + low) % (1 << bits) - low
+
+
+def _quotient(a, b, kind: str):
+    if b == 0:
+        return None
+    if kind[0] == "f":
+        return a / b
+    return abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
+
+
+#: The same functions on the driver, for small strata.
+_LOCAL_MAPS: dict[str, Callable] = {
+    "add": lambda a, b, k: a + b, "sub": lambda a, b, k: a - b, "mul": lambda a, b, k: a * b, "min": lambda a, b, k: min(a, b), "max": lambda a, b, k: max(a, b),
+    "div": _quotient, "mod": lambda a, b, k: None if b == 0 else a - b * _quotient(a, b, k) if k[0] != "f" else math.fmod(a, b)}
+_LOCAL_AGGREGATES: dict[str, Callable] = {
+    "sum": sum, "count": len, "min": min, "max": max,
+    "sum_above": lambda t, v: sum(x for x in v if x > t), "count_above": lambda t, v: sum(x > t for x in v), "max_above": lambda t, v: max((x for x in v if x > t), default=0)}
 _MAPS = ("add", "sub", "mul", "div", "mod", "min", "max")
 _AGGREGATES = ("sum_above", "max_above", "count_above", "sum", "count", "min", "max", "avg")
 
@@ -96,6 +120,7 @@ class Registry:
 
     def __init__(self) -> None:
         self.maps: dict[str, Functor] = {}
+        self.replaced: set[str] = set()  # built-in names that the host took over
         self.aggregates: dict[str, Functor] = {}
         self.merges: dict[str, Functor] = {}
         self.foreign: dict[str, T.DataType] = dict(FOREIGN_TYPES)
@@ -114,6 +139,8 @@ class Registry:
         self.merge("first", lambda v, order: F.min_by(v, order))
 
     def map(self, name: str, make: Callable[..., Column]) -> Registry:
+        if name in self.maps:
+            self.replaced.add(name)
         self.maps[name] = Functor(name, make)
         return self
 
@@ -134,6 +161,21 @@ class Registry:
             return Functor(name, _arithmetic(op, kind))
         return self.maps.get(name)
 
+    def local_map(self, name: str) -> Callable | None:
+        """A built-in functor for single values, None where it has no row; host functors have none."""
+        op, _, kind = name.rpartition("_")
+        if name in self.maps or op not in _LOCAL_MAPS or kind not in SPARK_TYPES:
+            return {"is_even": lambda x: x % 2 == 0, "is_odd": lambda x: x % 2 != 0}.get(name) if name not in self.replaced else None
+        return lambda a, b: wrapped(_LOCAL_MAPS[op](a, b, kind), kind)
+
+    def local_aggregate(self, name: str) -> Callable | None:
+        """A built-in aggregate over (config..., list of values)."""
+        op, _, kind = name.rpartition("_")
+        kind, op = (kind, op) if kind in SPARK_TYPES else ("i32", name)
+        if name in self.aggregates or op not in _LOCAL_AGGREGATES or kind[0] == "f" and op.startswith("sum"):
+            return None  # sums of floats depend on their order: one way only
+        return lambda *a: wrapped(_LOCAL_AGGREGATES[op](*a), kind)
+
     def find_aggregate(self, name: str) -> Functor | None:
         if name in self.aggregates:
             return self.aggregates[name]

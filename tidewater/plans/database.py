@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tidewater.lang.ast import Atom, DatalogError, Over, Var
 from tidewater.plans.evaluate import derive, facts, fixpoint, merged, message_rows, read_query, rule_rows, union
-from tidewater.plans.local import Rel, TooLarge, fits, model
+from tidewater.plans.local import Rel, TooLarge, fits, groups, groups_fit, model
 from tidewater.plans.program import Program, Rule
 from tidewater.plans.storage import LOCAL_LIMIT, LOCAL_ROWS, Table, write
 
@@ -153,7 +153,7 @@ class Database:
         if grouped and (self.mode == "incremental" or self.program.relations[scc[0]].merge):
             return self._regroup(scc[0], rules, deltas)
         special = any(r.aggregates for r in rules)
-        if self.local and not sticky and not special and fits(rules) and all(self.state[u].is_local for u in {u for r in rules for u, _ in r.uses()} | set(scc)):
+        if self.local and not sticky and not special and fits(self.program, rules) and all(self.state[u].is_local for u in {u for r in rules for u, _ in r.uses()} | set(scc)):
             try:
                 return self._on_driver(scc)
             except TooLarge:
@@ -219,6 +219,11 @@ class Database:
             on = [F.col(f"c{k}") == F.col(f"_k{i}") for i, k in enumerate(columns)]
             return df.join(changed, reduce(and_, on), "left_semi")
 
+        if self.local and source.is_local and old.is_local and not rel.merge and groups_fit(self.program, rules[0]):
+            found = groups(self.program, rules[0], source.local)
+            out = (Table.of(self.spark, schema, found - old.local), Table.of(self.spark, schema, old.local - found))
+            self._apply(key, *out)
+            return {key: out}
         rows = touched(source.df, at)
         if rel.merge:
             found = merged(self.program, key, rows)

@@ -131,7 +131,10 @@ def evaluate(program: Program, spark: SparkSession, tables: dict[str, DataFrame]
         return found[key] if key in found else spark.createDataFrame([], program.schema(key))
 
     for scc in program.strata:
-        if program.recursive(scc):
+        inputs = {u for k in scc for r in program.rules_of(k) for u, _ in r.uses()}
+        if program.recursive(scc) and inputs <= set(scc) and (rows := _closed(program, scc, max_rounds)) is not None:
+            found |= {k: Table.of(spark, program.schema(k), v).df for k, v in rows.items()}
+        elif program.recursive(scc):
             known, _ = fixpoint(program, spark, scc, at, max_rounds)
             found |= {k: t.df for k, t in known.items()}
         else:
@@ -139,6 +142,18 @@ def evaluate(program: Program, spark: SparkSession, tables: dict[str, DataFrame]
     return found
 
 
+def _closed(program: Program, scc: list[str], max_rounds: int) -> dict[str, frozenset] | None:
+    """A stratum that only has facts of its own, on the driver; None if it does not fit."""
+    from tidewater.plans import local
+
+    if not local.fits(program, [r for k in scc for r in program.rules_of(k)]):
+        return None
+    try:
+        return local.model(program, scc, lambda k: local.Rel(), max_rounds)
+    except local.TooLarge:
+        return None
+
+
 def message_rows(program: Program, key: str, df: DataFrame) -> DataFrame:
     """Columns by the message's parameter names if the table has them, else by position;
     cast to the declared types, with range checks for unsigned ones and NaN refused."""
