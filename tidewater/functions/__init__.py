@@ -1 +1 @@
-"""Incremental Datalog on Spark DataFrames."""
+"""Functors by name, as column expressions."""

@@ -1 +1 @@
-"""Incremental Datalog on Spark DataFrames."""
+"""Clause bodies as DataFrames."""

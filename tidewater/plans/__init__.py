@@ -1 +1 @@
-"""Incremental Datalog on Spark DataFrames."""
+"""Checked programs, their evaluation, maintenance and storage."""

@@ -1 +1 @@
-"""Incremental Datalog on Spark DataFrames."""
+"""Tables, fact files and batch scripts as messages."""

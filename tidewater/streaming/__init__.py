@@ -1 +1 @@
-"""Incremental Datalog on Spark DataFrames."""
+"""Structured Streaming in front of a database."""
