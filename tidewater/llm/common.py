@@ -7,6 +7,7 @@ session names none (tests, notebooks).
 
 from __future__ import annotations
 
+import io
 import pathlib
 import tempfile
 import uuid
@@ -27,12 +28,16 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
-    root = pathlib.Path(__file__).parents[2]
-    out = pathlib.Path(tempfile.mkdtemp(prefix="tidewater-")) / "tidewater.zip"
-    with zipfile.ZipFile(out, "w") as z:
+    root, packed = pathlib.Path(__file__).parents[2], io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted((root / "tidewater").rglob("*.py")):
             z.write(f, f.relative_to(root))
-    spark.sparkContext.addPyFile(str(out))
+    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/tidewater-{app}.zip"
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +57,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidewater-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and gives
-    every later branch the same rows even if executors are lost."""
+    every later branch the same rows even if executors are lost.
+
+    ``by``: a column of narrow rows by whose hash they are first gathered into files of
+    the advisory partition size, instead of one small file a task of a wide scan."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    (df.hint("rebalance", by) if by else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

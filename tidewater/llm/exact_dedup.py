@@ -38,7 +38,7 @@ def exact_dedup(docs: DataFrame, normalized: Column | None = None, bound: int =
     text = clean_text() if normalized is None else F.coalesce(normalized, F.lit(""))
     digests = materialize(
         docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), text_key().alias("text_key"),
-                    F.monotonically_increasing_id().alias("_row")), "digests")
+                    F.monotonically_increasing_id().alias("_row")), "digests", "_row")
     best = [F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "_row")).alias("_best")]
     heavy = heavy_digests(digests, bound, tracked)
     rest = digests

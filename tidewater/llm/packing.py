@@ -26,6 +26,10 @@ from tidewater.llm.bpe import RankBpe, load
 from tidewater.llm.common import clean_text, materialize
 
 
+#: Pieces to a partition of the range sort, at least.
+PART_ROWS = 50_000
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): whole documents where they fit, else cut."""
 
@@ -99,9 +103,9 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     """``cut`` (pieces) with sequence_id and offset."""
     spark = cut.sparkSession
     key = [F.col("length"), F.xxhash64("doc_id", "piece"), F.col("doc_id"), F.col("piece")]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written first: the range sort samples its input, which would tokenise twice
-    cut = materialize(cut, "cut")
+    cut = materialize(cut, "cut", "doc_id")
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), cut.count() // PART_ROWS))
     ranked = materialize(
         cut.repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id()), "pieces")
     # one row per partition and length; sorted, so partitions + capacity rows at most

@@ -90,7 +90,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """One row per input row: doc_id, fingerprint (hex), component_id, group_size, text_key."""
-    rows = materialize(fingerprints(docs, shingle, seed), "fingerprints")
+    rows = materialize(fingerprints(docs, shingle, seed), "fingerprints", "doc_id")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "distinct")
     roots = connected_components(links(distinct.select("fp"), radius), "links")
     named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
