@@ -88,6 +88,21 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_warc": r"""
+            WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+            d AS (
+                SELECT page_id, strlen(payload) AS payload_bytes, array_to_string(list_transform(string_split(sha1(payload), ''), lambda c:
+                           ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', c)]), '') AS bits
+                FROM p),
+            b AS (
+                SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+                           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INTEGER)
+                           + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INTEGER) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INTEGER) + CAST(substr(bits, 5 * i + 5, 1) AS INTEGER), 1)), '') AS payload_digest
+                FROM d)
+            SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+                   CASE WHEN page_id = min(page_id) OVER (PARTITION BY payload_digest) THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN page_id = min(page_id) OVER (PARTITION BY payload_digest) THEN NULL ELSE min(page_id) OVER (PARTITION BY payload_digest) END AS refers_to
+            FROM b""",
         "op8_exact_dedup": """
             WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
             SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
