@@ -29,13 +29,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidewater.llm.common import clean_text
 
 #: Remembered chunks of a worker, in each of two generations: when the young one is
 #: full it becomes the old one, from which chunks in use move back.
-CACHE_BOUND = 200_000
+CACHE_BOUND = 300_000
 #: Characters of text that are tokenised at a time.
 STEP = 1 << 21
 _PLAIN = 0x250  # below it, composition never changes a text and classes are tabled
@@ -242,6 +243,18 @@ class Bpe:
                 waiting, chars = [], 0
         yield from self._flush(waiting)
 
+    def _remember(self, memory: dict[str, bytes], keys: Iterable[str]) -> None:
+        """Have all keys in a memory."""
+        if len(memory) > CACHE_BOUND:
+            self.old[id(memory)] = dict(memory)
+            memory.clear()
+        keys = [k for k in keys if k not in memory]
+        if (old := self.old.get(id(memory))) and keys:
+            memory.update((k, old[k]) for k in keys if k in old)
+            keys = [k for k in keys if k not in memory]
+        if keys:
+            self._learn(memory, keys)
+
     def _flush(self, waiting: list) -> Iterator[bytes]:
         for memory in (self.cache, self.pieces):
             keys = set()
@@ -249,15 +262,7 @@ class Bpe:
                 for _, m, chunks in doc:
                     if m is memory:
                         keys.update(chunks)
-            if len(memory) > CACHE_BOUND:
-                self.old[id(memory)] = dict(memory)
-                memory.clear()
-            keys = [k for k in keys if k not in memory]
-            if (old := self.old.get(id(memory))) and keys:
-                memory.update((k, old[k]) for k in keys if k in old)
-                keys = [k for k in keys if k not in memory]
-            if keys:
-                self._learn(memory, keys)
+            self._remember(memory, keys)
         for doc in waiting:
             yield b"".join(ids if m is None else b"".join(map(m.__getitem__, chunks)) for ids, m, chunks in doc)
 
@@ -322,6 +327,40 @@ class RankBpe(Bpe):
         memory.update(zip(missing, (ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)), strict=True))
 
 
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        if self.keeps_space or self.fast is None:
+            yield from super().encode(texts)
+            return
+        waiting, chars = [], 0
+        for text in texts:
+            waiting.append(text)
+            chars += len(text)
+            if chars >= 4 * STEP:
+                yield from self._encode_columns(waiting)
+                waiting, chars = [], 0
+        yield from self._encode_columns(waiting)
+
+    def _encode_columns(self, texts: list[str]) -> Iterator[bytes]:
+        """Plain texts as one column of chunks: each distinct chunk is looked up once, and
+        the ids of all texts are gathered from those of the distinct chunks."""
+        other = {k: t for k, t in enumerate(texts) if "<|" in t or _ODD.search(t)}
+        rest = iter(list(super().encode(other.values())))
+        lists = pc.ascii_split_whitespace(pa.array(["" if k in other else t.lower() for k, t in enumerate(texts)], pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        codes, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        self._remember(self.cache, chunks)
+        parts = list(map(self.cache.__getitem__, chunks))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        at = np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        raw = ids[at].tobytes()
+        bounds = (4 * np.append(0, ends)[lists.offsets.to_numpy()]).tolist()
+        for k in range(len(texts)):
+            yield next(rest) if k in other else raw[bounds[k] : bounds[k + 1]]
+
+
 _LOADED: dict[tuple[str, type], Bpe] = {}
 
 
