@@ -247,9 +247,23 @@ class Database:
         self.proposals[key] = now
         return now
 
+    def _copy(self, key: str, atom: Atom, deltas: dict) -> dict[str, tuple[Table, Table]]:
+        """A relation whose rows are in one-to-one correspondence with some rows of another:
+        changes carry over as they are, and nothing needs to be derived again."""
+        rule, schema = self.program.rules_of(key)[0], self.program.schema(key)
+        place = rule.body.index(atom)
+        if rule.args == atom.args and len(rule.body) == 1 and schema == self.program.schema(atom.key):
+            self.state[key] = self.state[atom.key]
+            return {key: deltas[atom.key]}
+        out = tuple(write(rule_rows(self.program, self.spark, rule, self._now, {place: t.df}), schema, self._small(key, atom.key)) if t.count else Table(self.spark, schema) for t in deltas[atom.key])
+        self._apply(key, *out)
+        return {key: out}
+
     # -- maintenance -------------------------------------------------------------
     def _maintain(self, scc: list[str], before: dict[str, Table], deltas: dict, everything: bool) -> dict[str, tuple[Table, Table]]:
         program, spark = self.program, self.spark
+        if not everything and len(scc) == 1 and (atom := _source(program, scc[0])):
+            return self._copy(scc[0], atom, deltas)
         schema = {k: program.schema(k) for k in scc}
         empty = {k: Table(spark, schema[k]) for k in scc}
         old = {k: self.state[k] for k in scc}
@@ -328,6 +342,18 @@ class Database:
         return out
 
 
+def _source(program: Program, key: str) -> Atom | None:
+    """The one atom of a relation's only rule, if no two of its rows give the same head row."""
+    rules = program.rules_of(key)
+    if len(rules) != 1 or rules[0].forcing or program.relations[key].merge or not rules[0].args:
+        return None
+    atoms = [x for x in rules[0].body if isinstance(x, Atom)]
+    if len(atoms) != 1 or atoms[0].is_functor or atoms[0].negated or any(isinstance(x, Over) for x in rules[0].body):
+        return None
+    names = {a.name for a in atoms[0].args or [] if isinstance(a, Var)}
+    return atoms[0] if atoms[0].args and names <= {a.name for a in rules[0].args if isinstance(a, Var)} else None
+
+
 class Published(Mapping):
     """The last epoch's net changes by message: a DataFrame each, or rows by ``fetch``."""
 
