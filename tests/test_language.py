@@ -95,13 +95,13 @@ def test_strata_are_ordered_and_mutual_recursion_is_one():
 
 def test_imports(tmp_path):
     (tmp_path / "sub").mkdir()
-    (tmp_path / "sub" / "lib.dr").write_text("#message m(i32 X).\n#export p(i32 X) : m(X), X > LOW.\n")
-    (tmp_path / "defs.dr").write_text("#constant i32 LOW 3.\n")
-    (tmp_path / "main.dr").write_text('#import "defs.dr".\n#import "lib.dr".\n#import "defs.dr".\n#query q(free i32 X) : p(X).\n')
-    p = Program(load(str(tmp_path / "main.dr"), (str(tmp_path / "sub"),)))
+    (tmp_path / "sub" / "lib.dl").write_text("#message m(i32 X).\n#export p(i32 X) : m(X), X > LOW.\n")
+    (tmp_path / "defs.dl").write_text("#constant i32 LOW 3.\n")
+    (tmp_path / "main.dl").write_text('#import "defs.dl".\n#import "lib.dl".\n#import "defs.dl".\n#query q(free i32 X) : p(X).\n')
+    p = Program(load(str(tmp_path / "main.dl"), (str(tmp_path / "sub"),)))
     assert {"m/1", "p/1", "q/1"} <= set(p.relations)
     with pytest.raises(DatalogError, match="Cannot find"):
-        load(str(tmp_path / "main.dr"))
+        load(str(tmp_path / "main.dl"))
 
 
 def test_printing_parses_to_the_same():
@@ -125,13 +125,13 @@ def test_any_text_parses_or_is_diagnosed(text):
 def test_command_line(tmp_path, capsys, spark):
     from tidewater.__main__ import main
 
-    (tmp_path / "p.dr").write_text("#message edge(u64 A, u64 B) @differential.\n#local tc(u64 A, u64 B) : edge(A, B) : tc(A, X), edge(X, B).\n#query from(bound u64 A, free u64 B) : tc(A, B).\n")
+    (tmp_path / "p.dl").write_text("#message edge(u64 A, u64 B) @differential.\n#local tc(u64 A, u64 B) : edge(A, B) : tc(A, X), edge(X, B).\n#query from(bound u64 A, free u64 B) : tc(A, B).\n")
     (tmp_path / "s.txt").write_text("batch\n+ edge 1 2\n+ edge 2 3\nend\nbatch\n- edge 1 2\nend\n")
-    path = str(tmp_path / "p.dr")
+    path = str(tmp_path / "p.dl")
     assert main([path, "--explain", "--dot", "--print", "--demand"]) == 0
     out = capsys.readouterr().out
     assert "asked_tc_2" in out and "digraph" in out and "recursive" in out
     assert main([path, "--run", str(tmp_path / "s.txt")]) == 0
     assert capsys.readouterr().out == "from\t2 3\ntc\t2 3\n"
-    (tmp_path / "p.dr").write_text("#message edge(u64 A")
+    (tmp_path / "p.dl").write_text("#message edge(u64 A")
     assert main([path]) == 1 and "1:20" in capsys.readouterr().err
