@@ -43,10 +43,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
-    from tidewater.llm.simhash import simhash_groups
+    """Of each group linked by five-word similarities of at least 0.8 the smallest doc_id stays."""
+    from tidewater.llm.near_copies import near_copies
 
-    groups = simhash_groups(docs)
+    groups = near_copies(docs)
     return keep_rows(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 

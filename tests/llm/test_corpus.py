@@ -144,6 +144,60 @@ def test_components_of_chains_and_stars(spark):
     assert got == {k: 0 for k in range(61)} | {100 + k: 100 for k in range(80)}
 
 
+# -- near copies ---------------------------------------------------------------------
+def brute_near_links(texts):
+    """Pairs of five-word similarity >= 0.8: all that share a window are compared."""
+    sets, holders, near = [], defaultdict(list), []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    for k, s in enumerate(sets):
+        for x in s:
+            holders[x].append(k)
+    rare = sorted(holders, key=lambda x: (len(holders[x]), x))
+    rank = {x: n for n, x in enumerate(rare)}
+    first = [set(sorted(s, key=rank.get)[: len(s) - -(-4 * len(s) // 5) + 1]) for s in sets]
+    for k, s in enumerate(sets):  # sets this similar share one of their rarest windows
+        for j in {j for x in first[k] for j in holders[x] if j < k and x in first[j]}:
+            both = len(s & sets[j])
+            if 5 * both >= 4 * (len(s) + len(sets[j]) - both):
+                near.append((j, k))
+    return near
+
+
+def near_texts():
+    """Copies of a few texts with more and more words changed, and one large group."""
+    rng, out = random.Random(8), []
+    for n in (6, 9, 14, 60, 300, 2000):
+        base = [f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(n)]
+        for changed in (0, 1, 2, n // 60, n // 50, n // 45, n // 40, n // 20):
+            w = list(base)
+            for k in rng.sample(range(n), min(n, changed)):
+                w[k] = f"new{rng.randrange(10**6)}"
+            out.append("  ".join(w).upper() if changed == 2 else " ".join(w))
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    for _ in range(120):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randrange(1, 7)):
+            w[k] = f"new{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_dedup_keeps_one_of_each_group_of_near_copies(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").dropDuplicates(["text"]).coalesce(4)
+    for df, pairs in ((p.materialize(docs, "test-near"), 48), (frame(spark, ODD + near_texts(), False), None)):
+        rows = sorted((r.doc_id, r.text) for r in df.collect() if r.doc_id is not None)
+        near = brute_near_links([t for _, t in rows])
+        assert len(near) == pairs if pairs else len(near) > 300
+        roots = brute_components(range(len(rows)), near)
+        want = {rows[k][0] for k in roots.values()}
+        got = [r.doc_id for r in p.near_dedup(spark, df, "").collect() if r.doc_id is not None]
+        assert len(want) < len({t for _, t in rows}) and sorted(got) == sorted(want)
+
+
 # -- BPE -----------------------------------------------------------------------------
 def odd_texts():
     rng = random.Random(11)
