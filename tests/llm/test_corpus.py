@@ -405,6 +405,14 @@ def test_rules_base_statistics(spark, docs, labels):
     assert quality_rules(docs, labels.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_rules_trim_blanks_and_no_letters(spark, labels):
+    from tidewater.llm.rules import BASE, quality_rules
+
+    df = frame(spark, ["f", "fluff of", "one two of one two of", "\x0cone two\x0c", "\x0b\x0cf f f f\x0c\r", "\x0c", "uncut u000b"])
+    want = Counter((r.doc_id, *brute_base(r.text)) for r in df.collect())
+    assert Counter((r.doc_id, *(r[k] for k in BASE)) for r in quality_rules(df, labels).collect()) == want
+
+
 def test_rules_are_learned_and_pruned():
     from tidewater.llm.rules import _covers, learn
 

@@ -46,7 +46,7 @@ def with_statistics(docs: DataFrame, *others: str) -> DataFrame:
     positions: linear memory and n log n time for a text of any length, no shuffle.
     """
     t, w, h = F.col("_t"), F.col("_w"), F.col("_h")
-    trimmed = F.expr(r"trim(BOTH ' \t\n\u000b\f\r' FROM _t)")
+    trimmed = F.btrim(t, F.lit(_SPACE))
     d = docs.select("doc_id", *others, clean_text().alias("_t"))
     d = _hold(d, _w=F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")),
               _lines=F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(_SPACE))) > 0))
