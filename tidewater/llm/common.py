@@ -1,8 +1,8 @@
 """Shared pieces of the corpus operators: written tables, row ids, label samples.
 
 Intermediate tables are Parquet files below the folder in ``spark.checkpoint.dir``
-so that they outlive any executor.  A folder of our own is used only where the
-session names none (tests, notebooks).
+so that they outlive any executor.  Only a session on one machine may name none; it
+gets a temporary folder.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
@@ -46,9 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set to a temporary one only if unset."""
+    """The folder all executors share; a temporary one only if unset on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _OWN.get(spark.sparkContext.applicationId)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _OWN[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
     return found.rstrip("/")
 
@@ -69,6 +72,12 @@ def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_seen(df: DataFrame, label: str, **seen: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, and aggregates of the rows that are observed while they are written."""
+    told = Observation()
+    return materialize(df.observe(told, *(c.alias(k) for k, c in seen.items())), label), told.get
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of our own that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -96,21 +105,33 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def own_names(columns: Iterable[str], *stems: str) -> list[str]:
+    """A name for each stem that none of ``columns`` has, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """At most ``bound`` labelled training rows (doc_id, text, label, fold 0-9).
+    """At most ``bound`` labelled training rows (doc_id as text, text, label, fold 0-9).
 
-    The rows are those with the smallest hash of doc_id among the labelled rows
-    that are not held out, so the sample does not depend on partitioning.  The
-    id list is at most ``bound`` rows and is therefore broadcast.
+    The ids are those with the smallest hash among the labelled ones that are not held
+    out, so the sample does not depend on partitioning; at most ``bound`` ids are
+    broadcast.  An id that repeats in ``docs`` gives one row, its least text, so that the
+    bound holds for rows too; one that repeats in ``labels`` has its largest label.
     """
     ids = (
-        labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label"))
+        labels.select(F.col("doc_id").cast("string").alias("_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("_id"))
         .groupBy("_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64(F.col("_id"), F.lit("sample")), "_id").limit(bound)
     )
-    picked = docs.select(F.col("doc_id").alias("_doc"), clean_text().alias("text")).join(
-        F.broadcast(ids), F.col("_doc") == F.col("_id"), "inner")
+    picked = docs.select(F.col("doc_id").cast("string").alias("_doc"), clean_text().alias("text")).join(
+        F.broadcast(ids), F.col("_doc") == F.col("_id"), "inner").groupBy("_id", "label").agg(F.min("text").alias("text"))
     return picked.select(F.col("_id").alias("doc_id"), "text", "label",
                          F.pmod(F.xxhash64(F.col("_id"), F.lit("fold")), F.lit(10)).cast("int").alias("fold"))
 
@@ -122,10 +143,11 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     One shuffle by the row's own key, which no group of copies can make hot.
     """
     columns = docs.columns
-    left = docs.withColumn("_tw_key", text_key()).withColumn("_tw_id", F.col("doc_id"))
-    right = kept.select(F.col("doc_id").alias("_tw_rid"), F.col("text_key").alias("_tw_rkey"))
-    found = left.join(right, F.col("_tw_id").eqNullSafe(F.col("_tw_rid")) & (F.col("_tw_key") == F.col("_tw_rkey")), "left_semi")
-    return found.dropDuplicates(["_tw_id", "_tw_key"]).select(*columns)
+    key, same, other = own_names(columns, "_key", "_rid", "_rkey")
+    left = docs.withColumn(key, text_key())
+    right = kept.select(F.col("doc_id").alias(same), F.col("text_key").alias(other))
+    found = left.join(right, F.col("doc_id").eqNullSafe(F.col(same)) & (F.col(key) == F.col(other)), "left_semi")
+    return found.dropDuplicates(["doc_id", key]).select(*columns)
 
 
 def text_key(name: str = "text") -> Column:

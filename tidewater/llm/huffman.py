@@ -1,18 +1,22 @@
 """Token ids in canonical length-limited Huffman files.
 
-Layout of a folder: ``manifest`` (Parquet: path, documents, tokens, base) and one file a
-range of doc_ids.  Layout of a file: magic, the code lengths (zlib), then independent
-blocks.  A block holds whole documents: their row numbers and token counts, the bit
-offset of every CHECKPOINT-th token, and the bits.  Blocks are decoded on their own, and
-within one all checkpoints advance together through a table of the next LIMIT bits.
+Layout of a folder: one file a range of doc_ids, ``index`` (Parquet, one row a block:
+part, name, offset, length, documents, tokens, and the tokens before it in its file) and
+``manifest`` (Parquet, one row a file: part, tokens, base).  Layout of a file: magic, the
+code lengths (zlib), then independent blocks.  A block holds whole documents: their
+doc_ids (an Arrow stream) and token counts, the bit offset of every CHECKPOINT-th token,
+and the bits.  Blocks are read by byte range and decoded on their own; within one all
+checkpoints advance together through a table of the next LIMIT bits.
 
 Cases: null texts are the end token alone; an empty table gives no files and no
-rows; documents with equal or null doc_ids keep the order of the sort; very long texts
-make a block of their own.
+rows; documents with equal or null doc_ids stand together, in the order of a hash of
+their ids, and may be split among files; very long texts make a block of their own;
+vocabularies or end ids beyond 16 bits are refused with a ValueError.
 """
 
 from __future__ import annotations
 
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,10 +30,13 @@ from pyspark.sql import functions as F
 from tidewater.llm.bpe import RankBpe, load
 from tidewater.llm.common import clean_text, fresh_path, open_fs, remove
 
-MAGIC = b"TWHUFF01"
+MAGIC = b"TWHUFF02"
 LIMIT = 16  # longest code, in bits
 CHECKPOINT = 64  # tokens between bit offsets
 BLOCK = 1 << 16  # tokens after which a block is closed
+FILE = 1 << 24  # tokens to a file, about
+RANGE = 1 << 23  # bytes of a file that one reading task takes, about
+_INDEX = "part long, name string, offset long, length long, documents long, tokens long, before long"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -97,20 +104,38 @@ class Code:
         return out.T.ravel()[:total]
 
 
-def _block(code: Code, first: int, docs: list[bytes]) -> bytes:
-    """docs: little-endian 16- or 32-bit ids as arrays' bytes, from document ``first`` on."""
+def _block(code: Code, docs: list[bytes], doc_ids: pa.Array) -> bytes:
+    """docs: little-endian 16-bit ids as bytes, one entry a document."""
     ids = np.frombuffer(b"".join(docs), "<u2")
     bits, offsets = code.encode(ids)
     sizes = np.array([len(x) // 2 for x in docs], "<u4").tobytes()
-    head = np.array([first, len(docs), len(ids), len(offsets), len(bits)], "<u8").tobytes()
-    return head + sizes + offsets.tobytes() + bits
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, pa.schema([("doc_id", doc_ids.type)])) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays([doc_ids], ["doc_id"]))
+    names = out.getvalue()
+    head = np.array([len(docs), len(ids), len(offsets), len(names), len(bits)], "<u8").tobytes()
+    return head + sizes + offsets.tobytes() + names + bits
+
+
+def read_block(code: Code, data: bytes) -> tuple[pa.Array, list[int], np.ndarray]:
+    """(doc_ids, token counts, ids) of one block."""
+    n, total, marks, names, size = np.frombuffer(data, "<u8", 5).tolist()
+    at = 40
+    sizes = np.frombuffer(data, "<u4", n, at).tolist()
+    offsets = np.frombuffer(data, "<u4", marks, at := at + 4 * n)
+    at += 4 * marks
+    doc_ids = pa.ipc.open_stream(data[at : at + names]).read_all().column("doc_id").combine_chunks()
+    return doc_ids, sizes, code.decode(data[at + names : at + names + size], offsets, total)
 
 
 def tokens_of(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, ids): little-endian unsigned 16-bit ids with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = load(path, RankBpe), np.uint16(end_id).astype("<u2").tobytes()
+        bpe = load(path, RankBpe)
+        if max(end_id, int(bpe.to_id.max()), *bpe.special.values(), 0) >= 1 << 16 or end_id < 0:
+            raise ValueError(f"{path}: ids of more than 16 bits cannot be written")
+        end = np.uint16(end_id).astype("<u2").tobytes()
         for b in batches:
             ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() + end for x in bpe.encode(x.as_py() for x in b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -136,100 +161,111 @@ def global_counts(tokens: DataFrame) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, partitions: int | None = None) -> DataFrame:
-    """Write ``docs`` below ``folder`` in ascending doc_id order; returns the manifest.
+    """Write ``docs`` below ``folder`` in ascending doc_id order; returns the index.
 
     Texts are tokenised once, into a table of ids that is removed at the end.  A task
     writes a file under a name of its own attempt and only the attempt that Spark
-    accepted is in the manifest, so lost or repeated tasks do no harm.
+    accepted is in the index, so lost or repeated tasks do no harm.  The driver holds
+    two numbers a file.
     """
     spark = docs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens_at = fresh_path(spark, "ids")
     tokens_of(docs, path, end_id).write.option("compression", "zstd").parquet(tokens_at)
     tokens = spark.read.parquet(tokens_at)
-    lengths = code_lengths(global_counts(tokens))
+    counts = global_counts(tokens)
+    parts = partitions or max(1, -(-int(counts.sum()) // FILE))
+    lengths = code_lengths(counts)
     packed = zlib.compress(lengths.tobytes(), 9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = Code(lengths), TaskContext.get().partitionId()
         fs, at = open_fs(folder)
         name = f"{part:06d}-{uuid.uuid4().hex}.huf"
-        out, waiting, size, done, total, ids = None, [], 0, 0, 0, []
+        out, waiting, ids, size, offset, before, done = None, [], [], 0, 0, 0, []
 
         def flush() -> None:
-            nonlocal waiting, size, done
-            out.write(_block(code, done, waiting))
-            done, waiting, size = done + len(waiting), [], 0
+            nonlocal out, waiting, ids, size, offset, before
+            if out is None:
+                fs.create_dir(at, recursive=True)
+                out = fs.open_output_stream(f"{at}/{name}")
+                head = MAGIC + np.array([len(packed)], "<u8").tobytes() + packed
+                out.write(head)
+                offset = len(head)
+            block = _block(code, waiting, pa.concat_arrays(ids))
+            out.write(block)
+            done.append((part, name, offset, len(block), len(waiting), size, before))
+            offset, before, waiting, ids, size = offset + len(block), before + size, [], [], 0
 
         try:
             for b in batches:
-                for x in b.column("ids").to_pylist():
-                    if out is None:
-                        fs.create_dir(at, recursive=True)
-                        out = fs.open_output_stream(f"{at}/{name}")
-                        out.write(MAGIC + np.array([len(packed)], "<u8").tobytes() + packed)
+                first = 0
+                for k, x in enumerate(b.column("ids").to_pylist()):
                     waiting.append(x)
-                    size, total = size + len(x) // 2, total + len(x) // 2
+                    size += len(x) // 2
                     if size >= BLOCK:
+                        ids.append(b.column("doc_id").slice(first, k + 1 - first))
+                        first = k + 1
                         flush()
-                ids.append(b.column("doc_id"))
+                if first < b.num_rows:
+                    ids.append(b.column("doc_id").slice(first))
             if waiting:
                 flush()
         finally:
             if out is not None:
                 out.close()
-        if out is not None:
-            # doc_ids stand in a table beside the file, typed as they came
-            import pyarrow.parquet as pq
-
-            pq.write_table(pa.table({"doc_id": pa.chunked_array(ids)}), f"{at}/{name}.ids", filesystem=fs)
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([done]), pa.array([total])], ["part", "name", "documents", "tokens"])
+        for k in range(0, len(done), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done[k : k + 4096], strict=True)], [x.split()[0] for x in _INDEX.split(", ")])
 
-    files = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "part long, name string, documents long, tokens long").collect()
+    order = ["doc_id", F.xxhash64("ids")]  # equal doc_ids need not meet in one file
+    tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _INDEX).write.parquet(f"{folder}/index")
     remove(spark, tokens_at)
-    rows, base = [], 0
-    for r in sorted(files):
-        rows.append((r["name"], r["documents"], r["tokens"], base))
-        base += r["tokens"]
-    manifest = spark.createDataFrame(rows, "name string, documents long, tokens long, base long")
+    index = spark.read.schema(_INDEX).parquet(f"{folder}/index")
+    files = sorted((r["part"], r["tokens"]) for r in index.groupBy("part").agg(F.sum("tokens").alias("tokens")).collect())
+    bases = np.cumsum([0, *(n for _, n in files)]).tolist()
+    manifest = spark.createDataFrame([(part, n, base) for (part, n), base in zip(files, bases, strict=False)], "part long, tokens long, base long")
     manifest.coalesce(1).write.parquet(f"{folder}/manifest")
-    return spark.read.parquet(f"{folder}/manifest")
+    return index
 
 
-def read_file(fs, at: str) -> Iterator[tuple[int, list[int], np.ndarray]]:
-    """(first document, token counts, ids) of each block of one file."""
+def file_code(fs, at: str) -> Code:
+    """The code of one file."""
     with fs.open_input_stream(at) as f:
         if f.read(len(MAGIC)) != MAGIC:
             raise ValueError(f"{at}: not a token file")
-        code = Code(np.frombuffer(zlib.decompress(f.read(int(np.frombuffer(f.read(8), "<u8")[0]))), np.uint8))
-        while head := f.read(40):
-            first, n, total, marks, size = np.frombuffer(head, "<u8").tolist()
-            sizes = np.frombuffer(f.read(4 * n), "<u4").tolist()
-            offsets = np.frombuffer(f.read(4 * marks), "<u4")
-            yield first, sizes, code.decode(f.read(size), offsets, total)
+        return Code(np.frombuffer(zlib.decompress(f.read(int(np.frombuffer(f.read(8), "<u8")[0]))), np.uint8))
 
 
 def read_tokens(spark: SparkSession, folder: str, id_type: str = "long") -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
-
         fs, at = open_fs(folder)
-        for b in batches:
-            for r in b.to_pylist():
-                doc_ids = pq.read_table(f"{at}/{r['name']}.ids", filesystem=fs).column("doc_id").combine_chunks()
-                start = r["base"]
-                for first, sizes, ids in read_file(fs, f"{at}/{r['name']}"):
+        name, code, f = None, None, None
+        try:
+            for b in batches:
+                for r in b.to_pylist():
+                    if r["name"] != name:
+                        if f is not None:
+                            f.close()
+                        name, path = r["name"], f"{at}/{r['name']}"
+                        code, f = file_code(fs, path), fs.open_input_file(path)
+                    doc_ids, sizes, ids = read_block(code, f.read_at(r["length"], r["offset"]))
                     raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes)
                     own = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), sizes, strict=True)]
                     yield pa.RecordBatch.from_arrays([
-                        doc_ids.slice(first, len(sizes)), pa.array(start + ends - np.array(sizes)), pa.array(sizes, pa.int64()),
+                        doc_ids, pa.array(r["start"] + ends - np.array(sizes)), pa.array(sizes, pa.int64()),
                         pa.array(list(map(zlib.crc32, own)), pa.int64()), pa.array(own, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-                    start += int(ends[-1])
-
-    manifest = spark.read.parquet(f"{folder}/manifest")
-    spread = manifest.repartition(max(1, min(2000, manifest.count())), "name")
+        finally:
+            if f is not None:
+                f.close()
+
+    index = spark.read.schema(_INDEX).parquet(f"{folder}/index")
+    manifest = spark.read.schema("part long, tokens long, base long").parquet(f"{folder}/manifest")
+    # a range of a file is one key, so a file is read by several tasks
+    blocks = index.join(manifest.select("part", "base"), "part").select(
+        "name", "offset", "length", (F.col("base") + F.col("before")).alias("start"), F.floor(F.col("offset") / RANGE).alias("_range"))
+    tasks = max(1, int(index.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]) // RANGE)
+    spread = blocks.repartition(tasks, "name", "_range").sortWithinPartitions("name", "offset")
     return spread.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
@@ -239,5 +275,3 @@ def huffman_roundtrip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     folder = fresh_path(spark, "tokens")
     write_tokens(docs, path, folder, end_id)
     return read_tokens(spark, folder, docs.schema["doc_id"].dataType.simpleString()).drop("ids")
-
-

@@ -2,17 +2,24 @@
 
 Templates are winnowed and their fingerprints stand in an inverted index of bounded
 size (templates are a parameter, not corpus data).  Every whole text is looked up in it;
-texts that hit are aligned with the candidate templates in a band around each hit's
-diagonal, and matches that cover enough of a template are reported with their spans.
+where enough fingerprints of a template hit near one diagonal, the template is aligned
+with the text in a band around it.  Words that are missing, replaced or added all cost, so
+a match covers a template and little else.
+
+What tells licenses apart must agree: version numbers (2 is 2.0) and qualifiers
+(NonCommercial, NoDerivatives, Lesser, ...) of a template are required, in notices the
+license's name too, and a qualifier that a template does not have may not stand inside
+its match.
 
 Cases: null and empty texts match nothing; several matches of one text are reported
-each, overlapping matches of templates only the best covered (ties: the longer, then the
-first by name); repeated rows are reported each; an empty table gives an empty result.
+each, of overlapping matches only that of the best alignment (ties: the better covered,
+then the first by name); repeated rows are reported each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,44 +28,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewater.llm.common import clean_text
+from tidewater.llm.license_texts import NAMES, QUALIFIERS, TEMPLATES
 
 #: Words a shingle, and shingles a winnowing window: every shared run of
 #: GRAM + WINDOW - 1 words shares a fingerprint.
 GRAM, WINDOW = 3, 2
 BAND = 6  # words by which an alignment may leave its diagonal
+NOTICE = 20  # words up to which a template is a notice
 _MEMORY_BOUND = 150_000
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
-
-# Openings and notices of public licenses, by name.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "BSD-clauses": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "MIT-notice": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-}
+_VERSION = re.compile(r"v?\d+(\.\d+)*")
 
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
-    return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
+    """(word, first and past last character); versions without v and trailing zeros."""
+    out = []
+    for m in _WORD.finditer(text):
+        w = m[0].lower()
+        if w[-1].isdigit() and _VERSION.fullmatch(w):
+            w = w.removeprefix("v")
+            while w.endswith(".0"):
+                w = w[:-2]
+        out.append((w, m.start(), m.end()))
+    return out
 
 
 class Index:
     """Word numbers, and fingerprint -> (template, position)."""
 
-    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW):
+    def __init__(self, templates: dict[str, str], least: float = 0.8, gram: int = GRAM, window: int = WINDOW):
         self.names, self.gram = sorted(templates), gram
         self.words = [[w for w, _, _ in words_of(templates[k])] for k in self.names]
         self.number = {w: k + 1 for k, w in enumerate(sorted({w for x in self.words for w in x}))}
         self.base = len(self.number) + 1
+        self.edits = [int(len(x) * (1 - least) + 1e-9) for x in self.words]
+        self.needed = [[k for k, w in enumerate(x) if w in QUALIFIERS or _VERSION.fullmatch(w) or len(x) <= NOTICE and w in NAMES] for x in self.words]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.hits = []
         for t, x in enumerate(self.words):
             grams = self.grams(np.array([self.number[w] for w in x], np.int64))
             mixed = self.mix(grams)
@@ -69,6 +75,9 @@ class Index:
                     picked.add(k + len(part) - 1 - int(np.argmin(part[::-1])))
             for k in sorted(picked):
                 self.places[int(grams[k])].append((t, k))
+            # a missing or replaced word destroys ``gram`` fingerprints at most, each of two
+            # added ones that count as much ``gram`` - 1: that many are left of a match
+            self.hits.append(max(1, len(picked) - max(gram, 2 * gram - 2) * self.edits[t]))
         self.keys = np.array(sorted(self.places), np.int64)
 
     @staticmethod
@@ -103,26 +112,57 @@ class Numbers(dict):
         return got
 
 
-def align(text: list[str], template: list[str], shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """Longest common subsequence within a band around the diagonal i = j + shift:
-    (matched words, first and last matched word of the text)."""
-    low, width = max(0, shift - band), 2 * band + 1
-    # state of diagonal d: matched, first word, last word
-    best = [(0, -1, -1)] * (width + 1)
-    for j, word in enumerate(template):
-        row = [(0, -1, -1)] * (width + 1)
+def align(text: list[str], template: list[str], shift: int, band: int = BAND) -> tuple[int, list[tuple[int, int]]]:
+    """The best alignment of the whole template within ``band`` words of the diagonal
+    text = template + shift: (score, matched places as (text, template)).
+
+    A match scores 1; a replaced, a missing and an added word cost 1 each; words of the
+    text before and after the alignment are free."""
+    width, n = 2 * band + 1, len(template)
+    # best[d]: the score with the first j words of the template and the text up to the
+    # one before j + shift + d - band; from 0, since the text may start anywhere
+    best = [0] * width
+    back = []
+    for j in range(n):
+        row, steps, at = [0] * width, [0] * width, j + shift - band
         for d in range(width):
-            i = shift + j + d - band
-            if i < low:
-                continue
-            if i < len(text) and text[i] == word:
-                n, first, _ = best[d]
-                got = (n + 1, first if n else i, i)
-            else:
-                got = max(best[d + 1], row[d - 1] if d else (0, -1, -1), best[d], key=lambda x: (x[0], x[1]))
-            row[d] = got
+            i = at + d
+            same = 0 <= i < len(text) and text[i] == template[j]
+            score, step = best[d] + (1 if same else -1), 1 if same else 0
+            # row d of this round stands for the text after word i
+            if d + 1 < width and best[d + 1] - 1 > score:
+                score, step = best[d + 1] - 1, 2  # the template's word is missing
+            if d and row[d - 1] - 1 > score:
+                score, step = row[d - 1] - 1, 3  # the text's word is added
+            row[d], steps[d] = score, step
         best = row
-    return max(best, key=lambda x: (x[0], x[1]))
+        back.append(steps)
+    d = max(range(width), key=lambda k: (best[k], -abs(k - band)))
+    score, j, found = best[d], n - 1, []
+    while j >= 0:
+        step = back[j][d]
+        if step == 1:
+            found.append((j + shift - band + d, j))
+        if step < 2:
+            j -= 1
+        elif step == 2:
+            j, d = j - 1, d + 1
+        else:
+            d -= 1
+    return score, found[::-1]
+
+
+def accepted(index: Index, t: int, words: list[str], score: int, found: list[tuple[int, int]], least: float) -> bool:
+    """Whether an alignment is a match of template ``t``."""
+    template = index.words[t]
+    n, first, last = len(found), found[0][0], found[-1][0]
+    if n < least * len(template) or len(template) - score > 2 * index.edits[t] or n < min(index.gram, len(template)):
+        return False
+    hit = {j for _, j in found}
+    if any(j not in hit for j in index.needed[t]):
+        return False
+    taken = {i for i, _ in found}
+    return not any(w in QUALIFIERS for i, w in enumerate(words[first : last + 1], first) if i not in taken)
 
 
 def matches(text: str, index: Index, memory: Numbers, least: float) -> list[tuple[str, float, int, int, int]]:
@@ -130,27 +170,39 @@ def matches(text: str, index: Index, memory: Numbers, least: float) -> list[tupl
     lists = list(map(memory.__getitem__, text.split()))
     ids = np.fromiter((i for x in lists for i in x), np.int64, sum(map(len, lists)))
     grams = index.grams(ids)
+    if not len(index.keys) or not len(grams):
+        return []
     at = np.searchsorted(index.keys, grams)
-    hit = np.flatnonzero((at < len(index.keys)) & (index.keys[np.minimum(at, len(index.keys) - 1)] == grams)) if len(index.keys) else np.zeros(0, np.int64)
+    hit = np.flatnonzero(index.keys[np.minimum(at, len(index.keys) - 1)] == grams)
     if not len(hit):
         return []
-    places = words_of(text)
-    words, found, tried = [w for w, _, _ in places], {}, defaultdict(list)
+    shifts: dict[int, list[int]] = defaultdict(list)
     for i in hit.tolist():
         for t, k in index.places[int(grams[i])]:
+            shifts[t].append(i - k)
+    places, words, found = None, [], {}
+    for t, own in shifts.items():
+        own.sort()
+        done = None
+        for k, s in enumerate(own):
             # one alignment serves all hits of a template on near diagonals
-            if any(abs(i - k - s) <= BAND // 2 for s in tried[t][-4:]):
+            if done is not None and s - done <= BAND // 2 or bisect_left(own, s + 2 * BAND + 1) - bisect_left(own, s - 2 * BAND) < index.hits[t]:
                 continue
-            tried[t].append(i - k)
-            n, first, last = align(words, index.words[t], i - k)
-            if n >= least * len(index.words[t]) and n >= index.gram:
-                found[t, first, last] = n
-    out, taken = [], []
-    ranked = sorted(found.items(), key=lambda x: (-x[1] / len(index.words[x[0][0]]), -x[1], x[0]))
-    for (t, first, last), n in ranked:
-        if any(first <= b and a <= last for a, b in taken):
+            done = s
+            if places is None:
+                places = words_of(text)
+                words = [w for w, _, _ in places]
+            score, pairs = align(words, index.words[t], s)
+            if pairs and accepted(index, t, words, score, pairs, least):
+                found[t, pairs[0][0], pairs[-1][0]] = score, len(pairs)
+    out, starts, ends = [], [], []  # spans that are taken: apart from each other, in order
+    ranked = sorted(found.items(), key=lambda x: (-x[1][0], -x[1][1] / len(index.words[x[0][0]]), x[0]))
+    for (t, first, last), (_, n) in ranked:
+        k = bisect_left(starts, first)
+        if k < len(starts) and starts[k] <= last or k and ends[k - 1] >= first:
             continue
-        taken.append((first, last))
+        starts.insert(k, first)
+        ends.insert(k, last)
         out.append((index.names[t], n / len(index.words[t]), n, places[first][1], places[last][2]))
     return sorted(out, key=lambda x: x[3:])
 
@@ -160,7 +212,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     texts = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(texts)
+        index = Index(texts, least)
         memory = Numbers(index)
         for b in batches:
             rows, out = [], []

@@ -6,10 +6,11 @@ fullest combination for the rest of it, which is then removed.  Only the counts
 length matter for that, and there are at most ``capacity`` lengths, so the driver plans
 on a histogram of bounded size whatever the corpus; equal bins are removed together.
 Pieces get their place from their rank among pieces of the same length, which a range
-sort on a unique key gives without putting any length into one task.
+sort gives; its last key is the row's number in the written table, so that no length and
+no repeated row makes one task larger.
 
 Cases: null and empty texts are one piece with the end token; repeated rows are
-packed each; null doc_ids sort first; an empty table gives an empty result.
+packed each, in any order among them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -101,13 +102,13 @@ def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
 
 def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     """``cut`` (pieces) with sequence_id and offset."""
-    spark = cut.sparkSession
-    key = [F.col("length"), F.xxhash64("doc_id", "piece"), F.col("doc_id"), F.col("piece")]
+    key = [F.col("length"), F.xxhash64("doc_id", "piece"), F.col("_n")]
     # written first: the range sort samples its input, which would tokenise twice
     cut = materialize(cut, "cut", "doc_id")
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), cut.count() // PART_ROWS))
+    parts = max(1, cut.count() // PART_ROWS)
     ranked = materialize(
-        cut.repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id()), "pieces")
+        cut.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(parts, *key).sortWithinPartitions(*key)
+        .drop("_n").withColumn("_at", F.monotonically_increasing_id()), "pieces")
     # one row per partition and length; sorted, so partitions + capacity rows at most
     groups = sorted(
         (tuple(r) for r in ranked.groupBy(F.shiftright("_at", 33).alias("part"), "length").agg(F.min("_at"), F.count(F.lit(1))).collect()))

@@ -7,9 +7,11 @@ are broadcast, and every document takes exact blocked cosine products with all o
 Its nearest neighbours vote, weighted by similarity.
 
 Cases: null and empty texts have the empty text's structural vector and are scored like
-any other; without labelled rows every score is 1 (nothing speaks against a text); ties
-in similarity go to the lower row of the sample; repeated rows are scored each; an
-empty table gives an empty result; only doc_id and text are read for scoring.
+any other; without labelled rows every score is 1 (nothing speaks against a text); of
+neighbours that tie at the last place all vote; repeated rows are scored each; an
+empty table gives an empty result; ids may be of any type that has a text form; only
+doc_id and text are read for scoring, and columns of any name come back as they were,
+but for ``held_out``, ``score`` and ``predicted``, which ``score_quality`` sets anew.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import clean_text, held_out, labelled_sample
+from tidewater.llm.common import clean_text, held_out, labelled_sample, own_names
 
 #: Labelled rows that are broadcast, at most: SAMPLE_BOUND x DIMENSIONS floats.
 SAMPLE_BOUND = 4000
@@ -34,6 +36,8 @@ _TERMS = WORDS + SHAPES + STRUCTURE
 _WEIGHTS = {"words": 0.4, "shapes": 1.0, "structure": 1.0}
 _MEMORY_BOUND = 150_000
 _BLOCK = 256
+#: Characters of a chunk that is remembered; longer ones are worked out each time.
+_SHORT = 256
 _RUNS = ((re.compile(r"[^\W\d_]*[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ]+"), "AA"), (re.compile(r"[A-ZÀ-ÖØ-Þ]"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1+"), r"\1\1"))
 
 
@@ -43,12 +47,13 @@ class Terms(dict):
     def __missing__(self, chunk: str) -> int:
         if len(self) > _MEMORY_BOUND:
             self.clear()
-        shape = chunk[:64]
+        shape = chunk
         for pattern, to in _RUNS:
             shape = pattern.sub(to, shape)
         word = chunk.lower().strip(".,;:!?\"'()").encode("utf-8", "surrogatepass")
         code = zlib.crc32(word) % WORDS * SHAPES + zlib.crc32(shape.encode("utf-8", "surrogatepass")) % SHAPES
-        self[chunk] = code
+        if len(chunk) <= _SHORT:
+            self[chunk] = code
         return code
 
 
@@ -103,9 +108,10 @@ class Model:
         query = _unit((_weigh(rows, self.idf) - self.mean) @ self.project)
         near = query @ self.vectors.T
         k = min(neighbours, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(near, top, 1), 0, None) ** 4 + 1e-6
-        return (weight * self.labels[top]).sum(1) / weight.sum(1)
+        last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+        weight = np.square(np.square(np.clip(near, 0, None))) + np.float32(1e-6)
+        weight[near < last[:, None]] = 0
+        return np.clip((weight @ self.labels) / weight.sum(1), 0, 1)
 
 
 def _rows(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +126,7 @@ def _rows(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 values.append(row[at[-1]])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
 
-    got = sample.mapInArrow(run, "doc_id long, label int, at array<int>, value array<float>").toArrow().sort_by("doc_id")
+    got = sample.mapInArrow(run, "doc_id string, label int, at array<int>, value array<float>").toArrow().sort_by("doc_id")
     rows = np.zeros((got.num_rows, _TERMS), np.float32)
     for k, (at, value) in enumerate(zip(got.column("at"), got.column("value"), strict=True)):
         rows[k, at.values.to_numpy()] = value.values.to_numpy()
@@ -132,24 +138,35 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_BOUND) -> Model
     return Model(rows, y) if len(rows) else None
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = SAMPLE_BOUND) -> DataFrame:
-    """All columns of ``docs`` with held_out, score and predicted (new names win)."""
+def scored(docs: DataFrame, labels: DataFrame, name: str, bound: int = SAMPLE_BOUND) -> DataFrame:
+    """All columns of ``docs`` and the score, under a name that ``docs`` does not have."""
     model = fit(docs, labels, bound)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.drop("held_out", "score", "predicted")
-    schema = plain.withColumn("score", F.lit(0.0)).schema
+    text = own_names([*docs.columns, name], "_text")[0]
+    schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
-            texts = b.column("_tw_text")
+            texts = b.column(text)
             score = np.ones(b.num_rows)
             for k in range(0, b.num_rows if found else 0, _BLOCK):
                 part = np.stack([term_row(t.as_py()) for t in texts[k : k + _BLOCK]])
                 score[k : k + _BLOCK] = found.score(part)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], name])
+
+    return docs.select("*", clean_text().alias(text)).mapInArrow(run, schema)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = SAMPLE_BOUND) -> DataFrame:
+    """All columns of ``docs`` with held_out, score and predicted (new names win)."""
+    out = scored(docs.drop("held_out", "score", "predicted"), labels, "score", bound)
+    return out.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= threshold).cast("int")})
+
 
-    scored = plain.withColumn("_tw_text", clean_text()).mapInArrow(run, schema)
-    return scored.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= threshold).cast("int")})
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = SAMPLE_BOUND) -> DataFrame:
+    """The rows of ``docs`` that score at least the threshold, with all their columns unchanged."""
+    name = own_names(docs.columns, "_score")[0]
+    return scored(docs, labels, name, bound).where(F.col(name) >= threshold).drop(name)

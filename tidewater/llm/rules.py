@@ -6,7 +6,8 @@ them on another and emits the list as one ordered conditional expression.
 
 Cases: a null text has no words and all counts zero; texts under the base limits are
 never kept; without labels the list is empty and only the base limits decide; repeated
-rows are returned each; an empty table gives an empty result.
+rows are returned each; an empty table gives an empty result; ids may be of any type
+that has a text form; of the columns only doc_id and text are read.
 """
 
 from __future__ import annotations

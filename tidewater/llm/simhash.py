@@ -4,7 +4,9 @@ Every distinct fingerprint emits all variants within half the radius.  Two
 fingerprints within the radius share a variant, so grouping by variant finds every
 pair; a group holds at most one ball of fingerprints (65 for radius 2), whatever the
 data, because equal fingerprints are merged first.  Links within a group are verified
-and reduced to a star, which keeps components whole.
+and reduced to a star, which keeps components whole.  Rows find their component through
+written tables of one row a fingerprint, so that Spark can split the rows of a
+fingerprint that many texts have.
 
 Cases: null and empty texts have fingerprint zero and are linked like any other;
 texts with fewer words than a shingle hash their whole word sequence; repeated rows
@@ -13,7 +15,7 @@ share a fingerprint; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, repeat
 
 import numpy as np
@@ -28,6 +30,8 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _LANES = np.arange(8, dtype=np.int64) * 256
 #: Shingles hashed at a time, so a very long text needs little memory.
 _STEP = 1 << 16
+#: Fingerprints to a task that emits their variants.
+_EMIT = 20_000
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -43,9 +47,14 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     ends = list(accumulate(map(len, words), lambda at, n: at + 1 + n))
     starts = [0, *(e + 1 for e in ends[: len(ends) - shingle])]
     hashes = map(xxh64_intdigest, map(joined.__getitem__, map(slice, starts, ends[shingle - 1 :])), repeat(seed))
-    total, counts = len(words) - shingle + 1, np.zeros(2048, np.int64)
-    for at in range(0, total, _STEP):
-        h = np.fromiter(hashes, np.uint64, min(_STEP, total - at))
+    total = len(words) - shingle + 1
+    return packed((np.fromiter(hashes, np.uint64, min(_STEP, total - at)) for at in range(0, total, _STEP)), total)
+
+
+def packed(hashes: Iterable[np.ndarray], total: int) -> int:
+    """The SimHash of ``total`` 64-bit hashes, given in parts: bits set in over half of them."""
+    counts = np.zeros(2048, np.int64)
+    for h in hashes:
         counts += np.bincount((h.view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048)
     ones = np.einsum("ij,jk->ik", counts.reshape(8, 256), _BITS).ravel()
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
@@ -77,9 +86,12 @@ def ball(fp: Column, radius: int) -> Column:
 
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
-    """Star edges (a, b) that connect exactly what pairs within ``radius`` bits connect."""
+    """Star edges (a, b) that connect exactly what pairs within ``radius`` bits connect.
+
+    ``fps``: a written table of distinct fingerprints, fp."""
     half = (radius + 1) // 2
-    variants = fps.select("fp", F.explode(ball(F.col("fp"), half)).alias("variant"))
+    spread = fps.repartition(max(1, fps.count() // _EMIT), "fp")  # a few small files would be a few tasks
+    variants = spread.select("fp", F.explode(ball(F.col("fp"), half)).alias("variant"))
     groups = variants.groupBy("variant").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     if radius % 2 == 0:  # two members are each within half the radius of the variant
         pairs = groups.select(F.explode("members").alias("a"), F.array_min("members").alias("b"))
@@ -92,10 +104,10 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: in
     """One row per input row: doc_id, fingerprint (hex), component_id, group_size, text_key."""
     rows = materialize(fingerprints(docs, shingle, seed), "fingerprints", "doc_id")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "distinct")
-    roots = connected_components(links(distinct.select("fp"), radius), "links")
+    roots = materialize(connected_components(links(distinct.select("fp"), radius), "links"), "roots")
     named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named, "named")
-    groups = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("rows").alias("group_size"))
+    groups = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("rows").alias("group_size")), "groups")
     by_fp = materialize(named.select("fp", "root").join(groups, "root").select("fp", "component_id", "group_size"), "components")
     return rows.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size", "text_key")

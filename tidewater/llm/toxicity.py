@@ -2,12 +2,15 @@
 
 Three disjoint parts of a bounded labelled sample are used: one for the lexicons (words
 and word beginnings that are much likelier in toxic texts), one for the trees, one for
-the calibration.  Features of a whole text: densities and counts of lexicon entries,
+the calibration; where the third holds fewer than five texts of a kind, all rows that the
+trees saw calibrate too, and the model says so (``Model.held_apart``).  Features of a whole text: densities and counts of lexicon entries,
 their distance to second-person words, capitals, punctuation and obfuscated words.
 
 Cases: null and empty texts have all features zero; without labelled rows of both kinds
 every score is 0; repeated rows are scored each; an empty table gives an empty result;
-only doc_id and text are read for scoring.
+ids may be of any type that has a text form; only doc_id and text are read for scoring,
+and columns of any name come back as they were, but for ``held_out``, ``score`` and
+``predicted``, which ``score_toxicity`` sets anew.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import clean_text, held_out, labelled_sample, materialize
+from tidewater.llm.common import clean_text, held_out, labelled_sample, materialize, own_names
 
 #: Labelled rows that are learned from, at most.
 SAMPLE_BOUND = 12_000
@@ -28,6 +31,8 @@ SAMPLE_BOUND = 12_000
 LEXICON_BOUND = 3000
 PREFIXES = (4, 5)
 _MEMORY_BOUND = 150_000
+#: Characters of a chunk that is remembered; longer ones are worked out each time.
+_SHORT = 256
 # Second-person words of the languages that the corpus holds.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deiner ihr euch euer usted ustedes tú ti tus vosotros vuestro vuestra os".split())
 _STRIP = ".,;:!?\"'()[]{}…«»¡¿|-–—"
@@ -86,9 +91,10 @@ class Chunks(dict):
         w = _word(chunk)
         prefix = max((self.terms.get(w[:k] + "*", 0.0) for k in PREFIXES if len(w) > k), default=0.0)
         core = chunk.strip(_STRIP)
-        found = (self.terms.get(w, 0.0), prefix, w in SECOND_PERSON, len(core) > 2 and core.isupper(), bool(_OBFUSCATED.search(core[:64])))
+        found = (self.terms.get(w, 0.0), prefix, w in SECOND_PERSON, len(core) > 2 and core.isupper(), bool(_OBFUSCATED.search(core)))
         found = None if found == (0.0, 0.0, False, False, False) else found
-        self[chunk] = found
+        if len(chunk) <= _SHORT:
+            self[chunk] = found
         return found
 
 
@@ -178,8 +184,10 @@ class Isotonic:
 
 
 class Model:
-    def __init__(self, terms: dict[str, float], trees: Trees, calibrate: Isotonic):
-        self.terms, self.trees, self.calibrate = terms, trees, calibrate
+    """``held_apart``: whether only texts that the trees had not seen calibrate."""
+
+    def __init__(self, terms: dict[str, float], trees: Trees, calibrate: Isotonic, held_apart: bool):
+        self.terms, self.trees, self.calibrate, self.held_apart = terms, trees, calibrate, held_apart
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self.calibrate(self.trees.margin(x)), 0.0, 1.0)
@@ -196,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_BOUND) -> Model
             x = [features(t.as_py(), memory) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("fold"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "label", "fold", "x"])
 
-    got = sample.where("fold >= 4").mapInArrow(run, "doc_id long, label int, fold int, x array<double>").toArrow().sort_by("doc_id")
+    got = sample.where("fold >= 4").mapInArrow(run, "doc_id string, label int, fold int, x array<double>").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return None
     y, fold, x = got.column("label").to_numpy().astype(float), got.column("fold").to_numpy(), np.array(got.column("x").to_pylist())
@@ -206,15 +214,16 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_BOUND) -> Model
     trees = Trees(x[tree], y[tree])
     margin = trees.margin(x)
     # too few rows of a kind to calibrate on: then all that the trees saw
-    use = rest if min((y[rest] == 0).sum(), (y[rest] == 1).sum()) >= 5 else tree | rest
-    return Model(terms, trees, Isotonic(margin[use], y[use]))
+    apart = min((y[rest] == 0).sum(), (y[rest] == 1).sum()) >= 5
+    use = rest if apart else tree | rest
+    return Model(terms, trees, Isotonic(margin[use], y[use]), bool(apart))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bound: int = SAMPLE_BOUND) -> DataFrame:
-    """All columns of ``docs`` with held_out, score and predicted (new names win)."""
+def scored(docs: DataFrame, labels: DataFrame, name: str, bound: int = SAMPLE_BOUND) -> DataFrame:
+    """All columns of ``docs`` and the score, under a name that ``docs`` does not have."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
-    plain = docs.drop("held_out", "score", "predicted")
-    schema = plain.withColumn("score", F.lit(0.0)).schema
+    text = own_names([*docs.columns, name], "_text")[0]
+    schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -224,8 +233,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, b
                 continue
             score = np.zeros(b.num_rows)
             if model:
-                score = model.score(np.array([features(t.as_py(), memory) for t in b.column("_tw_text")]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], "score"])
+                score = model.score(np.array([features(t.as_py(), memory) for t in b.column(text)]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], name])
+
+    return docs.select("*", clean_text().alias(text)).mapInArrow(run, schema)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bound: int = SAMPLE_BOUND) -> DataFrame:
+    """All columns of ``docs`` with held_out, score and predicted (new names win)."""
+    out = scored(docs.drop("held_out", "score", "predicted"), labels, "score", bound)
+    return out.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= threshold).cast("int")})
+
 
-    scored = plain.withColumn("_tw_text", clean_text()).mapInArrow(run, schema)
-    return scored.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= threshold).cast("int")})
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bound: int = SAMPLE_BOUND) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns unchanged."""
+    name = own_names(docs.columns, "_score")[0]
+    return scored(docs, labels, name, bound).where(F.col(name) < threshold).drop(name)
