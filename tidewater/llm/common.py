@@ -7,6 +7,7 @@ gets a temporary folder.
 
 from __future__ import annotations
 
+import contextlib
 import io
 import pathlib
 import tempfile
@@ -96,6 +97,19 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def give_back() -> None:
+    """Return free memory of a Python worker, which serves many tasks, to the machine."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def clean_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

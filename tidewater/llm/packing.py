@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import RankBpe, load
-from tidewater.llm.common import clean_text, materialize
+from tidewater.llm.common import clean_text, give_back, materialize
 
 
 #: Pieces to a partition of the range sort, at least.
@@ -50,6 +50,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:])],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", clean_text().alias("text")).mapInArrow(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import clean_text, held_out, labelled_sample, own_names
+from tidewater.llm.common import clean_text, give_back, held_out, labelled_sample, own_names
 
 #: Labelled rows that are broadcast, at most: SAMPLE_BOUND x DIMENSIONS floats.
 SAMPLE_BOUND = 4000
@@ -156,6 +156,7 @@ def scored(docs: DataFrame, labels: DataFrame, name: str, bound: int = SAMPLE_BO
                 part = np.stack([term_row(t.as_py()) for t in texts[k : k + _BLOCK]])
                 score[k : k + _BLOCK] = found.score(part)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], name])
+        give_back()
 
     return docs.select("*", clean_text().alias(text)).mapInArrow(run, schema)
 

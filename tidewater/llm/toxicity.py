@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import clean_text, held_out, labelled_sample, materialize, own_names
+from tidewater.llm.common import clean_text, give_back, held_out, labelled_sample, materialize, own_names
 
 #: Labelled rows that are learned from, at most.
 SAMPLE_BOUND = 12_000
@@ -235,6 +235,7 @@ def scored(docs: DataFrame, labels: DataFrame, name: str, bound: int = SAMPLE_BO
             if model:
                 score = model.score(np.array([features(t.as_py(), memory) for t in b.column(text)]))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], name])
+        give_back()
 
     return docs.select("*", clean_text().alias(text)).mapInArrow(run, schema)
 
