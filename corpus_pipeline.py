@@ -6,33 +6,23 @@ returns a DataFrame that is written as Parquet and read again as the next one's
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.common import keep_rows, materialize, table
 
 
-def _judged(docs: DataFrame, score: Callable[[DataFrame], DataFrame], keep: Column) -> DataFrame:
-    """Rows of ``docs`` whose score passes, unchanged, whatever their columns are called."""
-    taken = [c for c in docs.columns if c.lower() in ("held_out", "score", "predicted")]
-    scored = score(docs.withColumnsRenamed({c: f"_own_{c}" for c in taken})).where(keep)
-    return scored.select(*(F.col(f"_own_{c}").alias(c) if c in taken else F.col(c) for c in docs.columns))
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity is below one half stay."""
-    from tidewater.llm.toxicity import score_toxicity
+    from tidewater.llm.toxicity import keep_clean
 
-    return _judged(docs, lambda d: score_toxicity(d, table(spark, sf_dir, "labels")), F.col("predicted") == 0)
+    return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose neighbours vote at least 0.3 for good quality stay."""
-    from tidewater.llm.quality import score_quality
+    from tidewater.llm.quality import keep_good
 
-    return _judged(docs, lambda d: score_quality(d, table(spark, sf_dir, "labels")), F.col("predicted") == 1)
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +33,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word similarities of at least 0.8 the smallest doc_id stays."""
+    """Of each group linked by five-word similarities of at least 0.8 one document stays:
+    that with the smallest doc_id, of equal ids that with the smallest hash of its text."""
     from tidewater.llm.near_copies import near_copies
 
-    groups = near_copies(docs)
-    return keep_rows(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return keep_rows(docs, near_copies(docs).where("kept"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
