@@ -24,6 +24,10 @@ SPARK_TYPES: dict[str, T.DataType] = {
 FOREIGN_TYPES: dict[str, T.DataType] = {
     "str": T.StringType(), "string": T.StringType(), "bytes": T.BinaryType(), "ts": T.TimestampNTZType(), "date": T.DateType(),
     "vec_f32": T.ArrayType(T.FloatType()), "vec_str": T.ArrayType(T.StringType())}
+#: Code of a foreign declaration -> its type; other code needs an entry in ``foreign``.
+FOREIGN_CODE: dict[str, T.DataType] = {
+    "std::string": T.StringType(), "std::string_view": T.StringType(), "const char *": T.StringType(), "str": T.StringType(), "bytes": T.BinaryType(),
+    "int": T.IntegerType(), "int32_t": T.IntegerType(), "int64_t": T.LongType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "bool": T.BooleanType()}
 _BITS = {"i8": 8, "i16": 16, "i32": 32, "i64": 64, "u8": 8, "u16": 16, "u32": 32, "u64": 64}
 
 

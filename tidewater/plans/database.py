@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.lang.ast import Atom, DatalogError, Over, Var
-from tidewater.plans.evaluate import derive, facts, fixpoint, merged, message_rows, read_query, rule_rows, union
+from tidewater.plans.evaluate import derive, facts, fixpoint, merged, message_rows, read_query, rounds, rule_rows, union
 from tidewater.plans.local import Rel, TooLarge, fits, groups, groups_fit, model
 from tidewater.plans.program import Program, Rule
-from tidewater.plans.storage import LOCAL_LIMIT, LOCAL_ROWS, Table, write
+from tidewater.plans.storage import LOCAL_ROWS, DivergenceError, Table, delete, write
 
 Rows = DataFrame | Iterable[tuple] | None
 
@@ -30,9 +30,11 @@ Rows = DataFrame | Iterable[tuple] | None
 class Database:
     """``mode``: incremental or recompute.  ``on_publish(message, rows)`` is called with
     the net change of every published message, one boolean column ``added`` last.
-    ``local``: strata whose inputs are few rows may be evaluated on the driver."""
+    ``local``: strata whose inputs are few rows may be evaluated on the driver.
+    ``max_rounds``: of any fixpoint, wherever it runs; beyond them DivergenceError is
+    raised.  By default there is no limit."""
 
-    def __init__(self, program: Program | str, spark: SparkSession, mode: str = "incremental", max_rounds: int = 1000, on_publish: Callable[[str, DataFrame], None] | None = None, local: bool = True):
+    def __init__(self, program: Program | str, spark: SparkSession, mode: str = "incremental", max_rounds: int | None = None, on_publish: Callable[[str, DataFrame], None] | None = None, local: bool = True):
         self.program = Program.parse(program) if isinstance(program, str) else program
         self.spark, self.mode, self.max_rounds, self.on_publish, self.local = spark, mode, max_rounds, on_publish, local
         self._indexed: dict[str, tuple] = {}
@@ -104,7 +106,7 @@ class Database:
         if rows is None:
             return Table(self.spark, schema)
         if isinstance(rows, DataFrame):
-            return write(message_rows(self.program, key, rows).distinct(), schema, small=True)
+            return write(message_rows(self.program, key, rows).distinct(), schema, fetch=True)
         checks = [_check(t, f.dataType, key) for t, f in zip(self.program.relations[key].types, schema, strict=True)]
         rows = list(rows)
         for row in rows:
@@ -142,7 +144,7 @@ class Database:
                     self.on_publish(name, self.published[name])
 
     def _apply(self, key: str, plus: Table, minus: Table) -> None:
-        self.state[key] = self.state[key].minus(minus).plus(plus)
+        self.state[key] = self.state[key].without(minus).plus(plus)
 
     def _stratum(self, scc: list[str], before: dict[str, Table], deltas: dict, everything: bool) -> dict[str, tuple[Table, Table]]:
         rules = [r for k in scc for r in self.program.rules_of(k)]
@@ -186,7 +188,7 @@ class Database:
                 self._indexed[key] = (now, Rel(now))
             return self._indexed[key][1]
 
-        found, out = model(self.program, scc, at, max(self.max_rounds, LOCAL_LIMIT)), {}
+        found, out = model(self.program, scc, at, self.max_rounds), {}
         for k in scc:
             old, new = self.state[k].local, found[k]
             schema = self.program.schema(k)
@@ -293,7 +295,7 @@ class Database:
                 elif a.negated and plus.count:
                     found.append((r.head, rule_rows(program, spark, positive(r, i), was, {i: plus.df})))
         doomed = delta = rows_by_head(found, lambda k, df: df.join(old[k].df, df.columns, "left_semi"))
-        for _ in range(self.max_rounds):
+        for _ in rounds(self.max_rounds):
             if not any(d.count for d in delta.values()):
                 break
             found = [(r.head, rule_rows(program, spark, r, was, {i: delta[a.key].df})) for r in rules for i, a in r.atoms(False) if a.key in scc and delta[a.key].count]
@@ -301,10 +303,10 @@ class Database:
             delta = rows_by_head(found, lambda k, df, known=known: df.join(old[k].df, df.columns, "left_semi").join(known[k].df, df.columns, "left_anti"))
             doomed = {k: doomed[k].plus(delta[k]) for k in scc}
         else:
-            raise RuntimeError(f"{scc}: over-deletion did not end")
+            raise DivergenceError(f"{', '.join(scc)}: over-deletion did not end after {self.max_rounds} rounds")
 
         # 2. what is left, and what of the doomed other rules still derive from it
-        left = {k: old[k].minus(doomed[k]) for k in scc}
+        left = {k: old[k].without(doomed[k]) for k in scc}
         now = lambda k: left[k].df if k in left else self.state[k].df
         found = []
         for r in rules:

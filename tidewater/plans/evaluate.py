@@ -1,6 +1,7 @@
 """Least models from scratch.
 
 Everything below recursion stays one lazy DataFrame for Catalyst.  A recursive stratum
+first writes what it reads from lower ones, only the columns that its rules use, and then
 runs semi-naively: each round joins the last round's new rows into every recursive
 position, keeps what was not known, writes it and stops when nothing is new.
 """
@@ -8,14 +9,16 @@ position, keeps what was not known, writes it and stops when nothing is new.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewater.lang.ast import Atom, Var
+from tidewater.lang.ast import Atom, Over, Var
 from tidewater.operators.body import Body
 from tidewater.plans.program import Program, Rule
-from tidewater.plans.storage import LOCAL_ROWS, DivergenceError, Table, write
+from tidewater.plans.storage import LOCAL_ROWS, DivergenceError, Table, delete, write
 
 Lookup = Callable[[str], DataFrame]
 
@@ -80,7 +83,41 @@ def derive(program: Program, spark: SparkSession, key: str, at: Lookup) -> DataF
     return merged(program, key, out.withColumn("_epoch", F.lit(0))) if program.relations[key].merge else out
 
 
-def fixpoint(program: Program, spark: SparkSession, scc: list[str], at: Lookup, max_rounds: int, known: dict[str, Table] | None = None, delta: dict[str, Table] | None = None, small: bool = False) -> tuple[dict[str, Table], dict[str, Table]]:
+def rounds(limit: int | None):
+    """Rounds of a fixpoint: as many as it takes, or a limit that the caller gave."""
+    return count() if limit is None else range(limit)
+
+
+def used_columns(program: Program, rules: list[Rule], key: str) -> set[int]:
+    """Columns of a relation that any of the rules looks at."""
+    out: set[int] = set()
+
+    def walk(items: list, head: set[str]) -> None:
+        for x in items:
+            if isinstance(x, Over):
+                walk([x.source] if x.source else x.body, {p.name for p in x.params})
+            elif isinstance(x, Atom) and not x.is_functor and x.key == key:
+                out.update([0] if x.args is None else [k for k, a in enumerate(x.args) if not (isinstance(a, Var) and a.anonymous and a.name not in head)])
+
+    for r in rules:
+        walk(r.body, set())
+    return out
+
+
+def inputs_once(program: Program, spark: SparkSession, scc: list[str], at: Lookup) -> dict[str, Table]:
+    """What a recursive stratum reads from lower ones, each written once as a set of the
+    columns that the stratum's rules use."""
+    rules = [r for k in scc for r in program.rules_of(k)]
+    looping = {u for r in rules if any(a.key in scc for _, a in r.atoms(False)) for u, _ in r.uses() if u not in scc}
+    out = {}
+    for key in sorted(looping):
+        columns = sorted(used_columns(program, rules, key)) or [0]
+        schema = T.StructType([program.schema(key).fields[k] for k in columns])
+        out[key] = write(at(key).select(*schema.names).distinct(), schema)
+    return out
+
+
+def fixpoint(program: Program, spark: SparkSession, scc: list[str], at: Lookup, max_rounds: int | None, known: dict[str, Table] | None = None, delta: dict[str, Table] | None = None, small: bool = False) -> tuple[dict[str, Table], dict[str, Table]]:
     """Semi-naive evaluation of a stratum: (all rows, rows added) by relation.
 
     ``known`` and ``delta`` continue from an earlier model: delta is new and not in known.
@@ -94,7 +131,7 @@ def fixpoint(program: Program, spark: SparkSession, scc: list[str], at: Lookup,
             base = facts(program, spark, program.rules_of(k)) + [rule_rows(program, spark, r, at) for r, places in recursive[k] if r.body and not places]
             delta[k] = write(union(base).distinct(), schema[k], small) if base else Table(spark, schema[k])
     added = dict(delta)
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         if not any(d.count for d in delta.values()):
             return known, added
         small = max(d.count for d in delta.values()) <= LOCAL_ROWS // 4
@@ -122,7 +159,7 @@ def fixpoint(program: Program, spark: SparkSession, scc: list[str], at: Lookup,
     raise DivergenceError(f"{', '.join(scc)}: no fixpoint after {max_rounds} rounds")
 
 
-def evaluate(program: Program, spark: SparkSession, tables: dict[str, DataFrame], max_rounds: int = 1000) -> dict[str, DataFrame]:
+def evaluate(program: Program, spark: SparkSession, tables: dict[str, DataFrame], max_rounds: int | None = None) -> dict[str, DataFrame]:
     """Every relation of a program over ``tables`` (message name -> rows), lazily except
     below recursion.  Rows that hold a null are no facts and do not take part."""
     found: dict[str, DataFrame] = {program.key_of(name): message_rows(program, program.key_of(name), df) for name, df in tables.items()}
@@ -135,14 +172,16 @@ def evaluate(program: Program, spark: SparkSession, tables: dict[str, DataFrame]
         if program.recursive(scc) and inputs <= set(scc) and (rows := _closed(program, scc, max_rounds)) is not None:
             found |= {k: Table.of(spark, program.schema(k), v).df for k, v in rows.items()}
         elif program.recursive(scc):
-            known, _ = fixpoint(program, spark, scc, at, max_rounds)
+            held = inputs_once(program, spark, scc, at)
+            known, _ = fixpoint(program, spark, scc, lambda k, held=held: held[k].df if k in held else at(k), max_rounds)
+            delete(spark, *(p for t in held.values() for p in t.files))
             found |= {k: t.df for k, t in known.items()}
         else:
             found[scc[0]] = derive(program, spark, scc[0], at)
     return found
 
 
-def _closed(program: Program, scc: list[str], max_rounds: int) -> dict[str, frozenset] | None:
+def _closed(program: Program, scc: list[str], max_rounds: int | None) -> dict[str, frozenset] | None:
     """A stratum that only has facts of its own, on the driver; None if it does not fit."""
     from tidewater.plans import local
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,11 @@ LOCAL_LIMIT = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session has none."""
+    """``spark.checkpoint.dir``; a temporary folder only where a session on one machine has none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _OWN.get(app) or _OWN.setdefault(app, f"file://{tempfile.mkdtemp(prefix='tidewater-')}")
     return found.rstrip("/")
@@ -36,11 +39,14 @@ class Table:
     """Disjoint pieces of one relation, and how many rows they have.
 
     Pieces are Parquet files, but for a bounded number of rows that stay on the driver so
-    that small epochs cost no job; the bound does not grow with the data.
+    that small epochs cost no job; the bound does not grow with the data.  ``old`` and
+    ``dead`` are files of rows and of those that are no longer among them: a removal
+    writes what it removes, and the relation is written anew only when a fourth is dead.
     """
 
-    def __init__(self, spark: SparkSession, schema: T.StructType, paths: tuple[str, ...] = (), count: int = 0, local: frozenset = frozenset()):
+    def __init__(self, spark: SparkSession, schema: T.StructType, paths: tuple[str, ...] = (), count: int = 0, local: frozenset = frozenset(), old: tuple[str, ...] = (), dead: tuple[str, ...] = (), gone: int = 0):
         self.spark, self.schema, self.paths, self.count, self.local = spark, schema, paths, count, local
+        self.old, self.dead, self.gone = old, dead, gone
         self._df: DataFrame | None = None
 
     @classmethod
@@ -52,17 +58,27 @@ class Table:
 
     @property
     def is_local(self) -> bool:
-        return not self.paths
+        return not self.paths and not self.old
+
+    @property
+    def files(self) -> tuple[str, ...]:
+        """All files that the rows are made from."""
+        return self.paths + self.old + self.dead
+
+    def _read(self, paths: tuple[str, ...]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
     @property
     def df(self) -> DataFrame:
         if self._df is None:
             parts = []
+            if self.old:
+                parts.append(self._read(self.old).join(self._read(self.dead), self.schema.names, "left_anti"))
             if self.paths:
-                parts.append(self.spark.read.schema(self.schema).parquet(*self.paths))
+                parts.append(self._read(self.paths))
             if self.local or not parts:
                 parts.append(self.spark.createDataFrame(list(self.local), self.schema))
-            self._df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            self._df = reduce(DataFrame.unionByName, parts)
         return self._df
 
     def plus(self, other: Table) -> Table:
@@ -71,22 +87,38 @@ class Table:
             return self
         if not self.count:
             return other
-        out = Table(self.spark, self.schema, self.paths + other.paths, self.count + other.count, self.local | other.local)
-        return write(out.df, self.schema) if len(out.local) > LOCAL_LIMIT or len(out.paths) > MAX_PIECES else out
+        if other.old:  # rows that were removed there may be here
+            other = write(other.df, self.schema)
+        out = Table(self.spark, self.schema, self.paths + other.paths, self.count + other.count, self.local | other.local, self.old, self.dead, self.gone)
+        return write(out.df, self.schema) if len(out.local) > LOCAL_LIMIT or len(out.files) > MAX_PIECES else out
 
     def minus(self, other: Table) -> Table:
+        """The rows that ``other`` does not have."""
         if not other.count or not self.count:
             return self
         if self.is_local and other.is_local:
             return Table.of(self.spark, self.schema, self.local - other.local)
         return write(self.df.join(other.df, self.schema.names, "left_anti"), self.schema)
 
+    def without(self, other: Table) -> Table:
+        """``minus`` where all rows of ``other`` are known to be here."""
+        if not other.count or self.is_local or other.count == self.count or self.local:
+            return self.minus(other) if other.count != self.count else Table(self.spark, self.schema)
+        if other.is_local:
+            other = write(other.df, self.schema)
+        gone, n = self.gone + other.count, self.count - other.count
+        if other.old or self.old and self.paths or 4 * gone > n or len(self.files) + len(other.paths) > MAX_PIECES:
+            return self.minus(other)
+        # one layer of removals: rows added later stand beside it
+        return Table(self.spark, self.schema, (), n, frozenset(), self.paths or self.old, self.dead + other.paths, gone)
 
-def write(df: DataFrame, schema: T.StructType, small: bool = False) -> Table:
+
+def write(df: DataFrame, schema: T.StructType, small: bool = False, fetch: bool = False) -> Table:
     """Run ``df`` once and keep its rows; an empty result keeps nothing.
 
-    ``small``: the caller expects few rows, which are then fetched; where that
-    proves wrong, the rows are written after all."""
+    ``small``: the caller knows that few rows go in and expects few to come out, which are
+    then fetched; where that proves wrong, the rows are written after all.
+    ``fetch``: what proves to be few rows is read back from what was written."""
     spark = df.sparkSession
     if small:
         rows = df.limit(LOCAL_ROWS + 1).collect()
@@ -96,4 +128,18 @@ def write(df: DataFrame, schema: T.StructType, small: bool = False) -> Table:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     n = seen.get["n"]
+    if n and fetch and n <= LOCAL_ROWS:
+        rows = spark.read.schema(schema).parquet(path).collect()
+        delete(spark, path)
+        return Table(spark, schema, (), n, frozenset(tuple(r) for r in rows))
+    if not n:
+        delete(spark, path)
     return Table(spark, schema, (path,), n) if n else Table(spark, schema)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete files of our own that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

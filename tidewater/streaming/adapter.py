@@ -14,7 +14,9 @@ from tidewater.plans.database import Database
 def stream_into(db: Database, message: str, rows: DataFrame, checkpoint: str | None = None, trigger: dict | None = None, after: Callable[[int], None] | None = None) -> StreamingQuery:
     """Feed a streaming DataFrame to a message.
 
-    A boolean column ``added`` marks removals (false) of a @differential message.  Spark
+    A boolean column ``added`` marks removals (false) of a @differential message; a null in
+    it is an error.  The database lives as long as this driver: after a restart, start with
+    an empty checkpoint folder so that all input is read again.  Spark
     may repeat the last micro-batch after a failure; that is harmless, since facts
     are sets and a repeated addition or removal changes nothing.  Published changes go to
     the database's ``on_publish`` once an epoch.
@@ -23,7 +25,8 @@ def stream_into(db: Database, message: str, rows: DataFrame, checkpoint: str | N
     def epoch(batch: DataFrame, number: int) -> None:
         if "added" in batch.columns:
             batch = batch.persist()  # read twice
-            db.send(message, batch.where("added").drop("added"), batch.where(~F.col("added")).drop("added"))
+            marked = F.when(F.col("added").isNull(), F.raise_error(F.lit(f"{message}: a row is neither added nor removed"))).otherwise(F.col("added"))
+            db.send(message, batch.where(marked).drop("added"), batch.where(~marked).drop("added"))
             batch.unpersist()
         else:
             db.send(message, batch)

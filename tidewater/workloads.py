@@ -22,13 +22,13 @@ CLOSURE = """
 #query from(bound u64 A, free u64 B) : tc(A, B).
 """
 CHAIN = """
-#message base(u64 X) @differential. #message next(u64 A, u64 B).
-#local reach(u64 X) : base(X) : reach(Y), next(Y, X).
-#query reached(free u64 X) : reach(X).
+#message spark(u64 Cell) @differential. #message fuse(u64 Cell, u64 Onward).
+#local burning(u64 Cell) : spark(Cell) : burning(Before), fuse(Before, Cell).
+#query fire(free u64 Cell) : burning(Cell).
 """
 HOPS = """
-#message e_msg(u64 A, u64 B) @differential.
-#message h_msg(u64 A, u64 B) @differential : e_msg(A, X), e_msg(X, B).
+#message flight(u64 From, u64 To) @differential.
+#message one_stop(u64 From, u64 To) @differential : flight(From, Via), flight(Via, To).
 """
 DISASSEMBLY = """
 #enum Kind u8. #constant Kind FALL 0. #constant Kind JUMP 1. #constant Kind CALL 2.
@@ -63,11 +63,11 @@ def rings(count: int = 8, k: int = 32, batches: int = 20) -> Iterator[Epoch]:
 
 def chain(depth: int = 100_000, cycles: int = 4) -> Iterator[Epoch]:
     """A long chain whose only seed goes and comes."""
-    yield "next", [(i, i + 1) for i in range(depth)], []
-    yield "base", [(0,)], []
+    yield "fuse", [(i, i + 1) for i in range(depth)], []
+    yield "spark", [(0,)], []
     for _ in range(cycles):
-        yield "base", [], [(0,)]
-        yield "base", [(0,)], []
+        yield "spark", [], [(0,)]
+        yield "spark", [(0,)], []
 
 
 def flips(nodes: int = 256, m: int = 32, batches: int = 100, seed: int = 2) -> Iterator[Epoch]:
@@ -75,7 +75,7 @@ def flips(nodes: int = 256, m: int = 32, batches: int = 100, seed: int = 2) -> I
     rng, live = random.Random(seed), set()
     for _ in range(batches):
         flip = {(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(m)} | set(rng.sample(sorted(live), min(len(live), m // 2)))
-        yield "e_msg", sorted(flip - live), sorted(flip & live)
+        yield "flight", sorted(flip - live), sorted(flip & live)
         live ^= flip
 
 
