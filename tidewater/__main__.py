@@ -57,7 +57,8 @@ def _run(program: Program, script: str) -> None:
         run_batches(f.read(), db)
     for key, rel in sorted(program.relations.items()):
         if rel.kind in ("local", "query"):
-            for row in sorted(db.fetch(key), key=repr):
+            rows = db.relation(key)
+            for row in rows.orderBy(*rows.columns).toLocalIterator():
                 print(f"{key.rpartition('/')[0]}\t{' '.join(map(str, row))}")
 
 

@@ -4,7 +4,8 @@ After every epoch the state equals a from-scratch evaluation of the facts that a
 left, except for @never, which remembers what it let through.  In incremental mode a
 stratum whose inputs changed is maintained by over-deleting with the old state,
 re-deriving survivors and inserting semi-naively; aggregates and merges run again over
-the groups that a change touched.  Unchanged strata are not touched.
+the groups that a change touched.  Unchanged strata are not touched.  An epoch that fails
+leaves the state as it was.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import replace
 from functools import reduce
 from operator import and_
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from tidewater.lang.ast import Atom, DatalogError, Over, Var
 from tidewater.plans.evaluate import derive, facts, fixpoint, merged, message_rows, read_query, rounds, rule_rows, union
 from tidewater.plans.local import Rel, TooLarge, fits, groups, groups_fit, model
 from tidewater.plans.program import Program, Rule
-from tidewater.plans.storage import LOCAL_ROWS, DivergenceError, Table, delete, write
+from tidewater.plans.storage import LOCAL_LIMIT, LOCAL_ROWS, DivergenceError, Table, absent, among, delete, noted, write
 
 Rows = DataFrame | Iterable[tuple] | None
 
@@ -32,7 +34,10 @@ class Database:
     the net change of every published message, one boolean column ``added`` last.
     ``local``: strata whose inputs are few rows may be evaluated on the driver.
     ``max_rounds``: of any fixpoint, wherever it runs; beyond them DivergenceError is
-    raised.  By default there is no limit."""
+    raised.  By default there is no limit.
+
+    DataFrames got from a database can be read until the end of the next epoch; files that
+    nothing refers to any longer are deleted after that."""
 
     def __init__(self, program: Program | str, spark: SparkSession, mode: str = "incremental", max_rounds: int | None = None, on_publish: Callable[[str, DataFrame], None] | None = None, local: bool = True):
         self.program = Program.parse(program) if isinstance(program, str) else program
@@ -42,13 +47,23 @@ class Database:
         self.proposals: dict[str, Table] = {}
         self.published = Published(self)
         self.epoch = -1
+        self.lock = RLock()  # for streams that feed one database
+        self.positions: dict[str, int] = {}  # the last micro-batch of each stream
+        #: files that are ours: all, those that were idle after the last epoch, those of the saved state
+        self.files: set[str] = set()
+        self._idle: set[str] = set()
+        self.saved: set[str] = set()
+        self.manifest: dict[str, int] = {}  # the last one by folder
+        self.copies: dict[tuple[str, str], tuple[frozenset, Table]] = {}  # of rows that the driver holds
 
     # -- entry points ------------------------------------------------------------
     def init(self) -> Database:
         """Epoch 0: facts fire.  Runs once, before any message."""
         if self.epoch >= 0:
             raise RuntimeError("init runs once")
-        self._epoch({}, everything=True)
+        with noted(self.files):
+            self._epoch({}, everything=True)
+        self._sweep()
         return self
 
     def send(self, message: str, adds: Rows = None, removes: Rows = None) -> None:
@@ -59,6 +74,11 @@ class Database:
         """Several messages in one epoch.  What is both added and removed cancels out."""
         if self.epoch < 0:
             raise RuntimeError("init must run before any message")
+        with noted(self.files):
+            self._epoch(self._deltas(changes))
+        self._sweep()
+
+    def _deltas(self, changes: dict[str, tuple[Rows, Rows] | Rows]) -> dict[str, tuple[Table, Table]]:
         deltas: dict[str, tuple[Table, Table]] = {}
         for name, change in changes.items():
             key = self.program.key_of(name)
@@ -71,8 +91,19 @@ class Database:
             a, r, old = self._table(key, adds), self._table(key, removes), self.state[key]
             # what is on both sides cancels out, before either is held against the state
             a, r = a.minus(r), r.minus(a)
-            deltas[key] = (a.minus(old), r.minus(r.minus(old)))
-        self._epoch(deltas)
+            plus = a if not old.count else write(absent(a.df, old), a.schema, a.is_local) if a.count and not (a.is_local and old.is_local) else a.minus(old)
+            gone = write(among(r.df, old), r.schema, r.is_local) if r.count and not (r.is_local and old.is_local) else r.minus(r.minus(old))
+            deltas[key] = (plus, gone)
+        return deltas
+
+    def _sweep(self) -> None:
+        """Delete the files that nothing has referred to for an epoch."""
+        tables = [*self.state.values(), *self.proposals.values(), *(t for _, *both in self.published.changes.values() for t in both)]
+        idle = self.files.difference(self.saved, *(t.files for t in tables))
+        gone = idle & self._idle
+        delete(self.spark, *gone)
+        self.files -= gone
+        self._idle = idle - gone
 
     def query(self, name: str, pattern: str | None = None, **bound) -> DataFrame:
         """Read the state; a forcing query first sends its message, as an epoch of its own."""
@@ -94,10 +125,9 @@ class Database:
         key = self.program.key_of(name)
         return self.state[key].df.toDF(*self.program.names(key))
 
-    def fetch(self, name: str) -> set[tuple]:
-        """All rows of a relation as tuples, for relations small enough to hold."""
-        now = self.state[self.program.key_of(name)]
-        return set(now.local) if now.is_local else {tuple(r) for r in now.df.collect()}
+    def fetch(self, name: str, limit: int = LOCAL_LIMIT) -> set[tuple]:
+        """All rows of a relation as tuples; more than ``limit`` of them are refused."""
+        return _fetched(name, self.state[self.program.key_of(name)], limit)
 
     # -- pieces ------------------------------------------------------------------
     def _table(self, key: str, rows: Rows) -> Table:
@@ -125,6 +155,14 @@ class Database:
         return self.state[key].df
 
     def _epoch(self, deltas: dict[str, tuple[Table, Table]], everything: bool = False) -> None:
+        was = dict(self.state), dict(self.proposals), self.published, self.epoch
+        try:
+            self._advance(deltas, everything)
+        except BaseException:
+            self.state, self.proposals, self.published, self.epoch = was
+            raise
+
+    def _advance(self, deltas: dict[str, tuple[Table, Table]], everything: bool) -> None:
         self.epoch += 1
         before = dict(self.state)
         for key, (plus, minus) in deltas.items():
@@ -294,13 +332,13 @@ class Database:
                     found.append((r.head, rule_rows(program, spark, r, was, {i: minus.df})))
                 elif a.negated and plus.count:
                     found.append((r.head, rule_rows(program, spark, positive(r, i), was, {i: plus.df})))
-        doomed = delta = rows_by_head(found, lambda k, df: df.join(old[k].df, df.columns, "left_semi"))
+        doomed = delta = rows_by_head(found, lambda k, df: among(df, old[k]))
         for _ in rounds(self.max_rounds):
             if not any(d.count for d in delta.values()):
                 break
             found = [(r.head, rule_rows(program, spark, r, was, {i: delta[a.key].df})) for r in rules for i, a in r.atoms(False) if a.key in scc and delta[a.key].count]
             known = doomed
-            delta = rows_by_head(found, lambda k, df, known=known: df.join(old[k].df, df.columns, "left_semi").join(known[k].df, df.columns, "left_anti"))
+            delta = rows_by_head(found, lambda k, df, known=known: among(df, old[k]).join(known[k].df, df.columns, "left_anti"))
             doomed = {k: doomed[k].plus(delta[k]) for k in scc}
         else:
             raise DivergenceError(f"{', '.join(scc)}: over-deletion did not end after {self.max_rounds} rounds")
@@ -327,7 +365,7 @@ class Database:
                     # the old blocker names the candidates; the negation itself stays
                     wider = replace(r, body=[*r.body, replace_atom(a)])
                     found.append((r.head, rule_rows(program, spark, wider, now, {len(r.body): minus.df})))
-        start = rows_by_head(found, lambda k, df: df.join(left[k].df, df.columns, "left_anti"))
+        start = rows_by_head(found, lambda k, df: absent(df, left[k]))
         if program.recursive(scc):
             new, added = fixpoint(program, spark, scc, lambda k: self.state[k].df, self.max_rounds, left, start, small)
         else:
@@ -373,10 +411,16 @@ class Published(Mapping):
     def __len__(self) -> int:
         return len(self.changes)
 
-    def fetch(self, name: str) -> tuple[set[tuple], set[tuple]]:
-        """(added, removed) rows."""
+    def fetch(self, name: str, limit: int = LOCAL_LIMIT) -> tuple[set[tuple], set[tuple]]:
+        """(added, removed) rows; more than ``limit`` of a kind are refused."""
         _, *both = self.changes[name]
-        return tuple(set(t.local) if t.is_local else {tuple(r) for r in t.df.collect()} for t in both)
+        return tuple(_fetched(name, t, limit) for t in both)
+
+
+def _fetched(name: str, rows: Table, limit: int) -> set[tuple]:
+    if rows.count > limit:
+        raise ValueError(f"{name} has {rows.count} rows, more than {limit}: read them as a DataFrame")
+    return set(rows.local) if rows.is_local else {tuple(r) for r in rows.df.collect()}
 
 
 def _check(kind: str | None, spark_type: T.DataType, key: str) -> Callable:

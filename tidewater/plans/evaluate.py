@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tidewater.lang.ast import Atom, Over, Var
 from tidewater.operators.body import Body
 from tidewater.plans.program import Program, Rule
-from tidewater.plans.storage import LOCAL_ROWS, DivergenceError, Table, delete, write
+from tidewater.plans.storage import LOCAL_ROWS, DivergenceError, Table, absent, delete, noted, write
 
 Lookup = Callable[[str], DataFrame]
 
@@ -151,7 +151,7 @@ def fixpoint(program: Program, spark: SparkSession, scc: list[str], at: Lookup,
                     parts.append(rule_rows(program, spark, r, lambda x: known[x].df if x in known else at(x), override))
             if parts:
                 fresh = union(parts).distinct()
-                new[k] = write(fresh.join(known[k].df, fresh.columns, "left_anti"), schema[k], small)
+                new[k] = write(absent(fresh, known[k]), schema[k], small)
             else:
                 new[k] = Table(spark, schema[k])
         delta = new
@@ -172,9 +172,11 @@ def evaluate(program: Program, spark: SparkSession, tables: dict[str, DataFrame]
         if program.recursive(scc) and inputs <= set(scc) and (rows := _closed(program, scc, max_rounds)) is not None:
             found |= {k: Table.of(spark, program.schema(k), v).df for k, v in rows.items()}
         elif program.recursive(scc):
-            held = inputs_once(program, spark, scc, at)
-            known, _ = fixpoint(program, spark, scc, lambda k, held=held: held[k].df if k in held else at(k), max_rounds)
-            delete(spark, *(p for t in held.values() for p in t.files))
+            files: set[str] = set()
+            with noted(files):
+                held = inputs_once(program, spark, scc, at)
+                known, _ = fixpoint(program, spark, scc, lambda k, held=held: held[k].df if k in held else at(k), max_rounds)
+            delete(spark, *files.difference(*(t.files for t in known.values())))
             found |= {k: t.df for k, t in known.items()}
         else:
             found[scc[0]] = derive(program, spark, scc[0], at)

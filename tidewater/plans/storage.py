@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -18,6 +20,19 @@ MAX_PIECES = 24
 LOCAL_ROWS = 10_000
 #: Rows that may stay there where the driver made them itself.
 LOCAL_LIMIT = 250_000
+#: Candidates up to which a larger relation is probed where it lies, without a shuffle.
+PROBE_ROWS, PROBE_BYTES = 200_000, 16 << 20
+_NOTED: ContextVar[set[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noted(files: set[str]) -> Iterator[None]:
+    """Note in ``files`` all that ``write`` makes meanwhile in this thread."""
+    token = _NOTED.set(files)
+    try:
+        yield
+    finally:
+        _NOTED.reset(token)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -125,6 +140,8 @@ def write(df: DataFrame, schema: T.StructType, small: bool = False, fetch: bool
         if len(rows) <= LOCAL_ROWS:
             return Table(spark, schema, (), len(rows), frozenset(tuple(r) for r in rows))
     path = f"{shared_folder(spark)}/tidewater-state-{uuid.uuid4().hex}"
+    if (files := _NOTED.get()) is not None:
+        files.add(path)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     n = seen.get["n"]
@@ -137,9 +154,47 @@ def write(df: DataFrame, schema: T.StructType, small: bool = False, fetch: bool
     return Table(spark, schema, (path,), n) if n else Table(spark, schema)
 
 
+def _probe(df: DataFrame, known: Table) -> tuple[DataFrame, DataFrame]:
+    """``df``, and rows of ``known`` among which are all that it shares with ``df``.
+
+    A join would shuffle all of ``known``, each round again.  Where it is much, ``df`` is
+    written first; if that proves to be little, by rows and by bytes, it is broadcast, and
+    what it meets in ``known``, at most as many rows, is broadcast in turn."""
+    if known.count <= PROBE_ROWS:
+        return df, known.df
+    held = write(df, known.schema)
+    if held.count > PROBE_ROWS or sum(_size(known.spark, p) for p in held.paths) > PROBE_BYTES:
+        return held.df, known.df
+    return held.df, F.broadcast(known.df.join(F.broadcast(held.df), known.schema.names, "left_semi"))
+
+
+def among(df: DataFrame, known: Table) -> DataFrame:
+    """The rows of a set that are known."""
+    df, met = _probe(df, known)
+    return df.join(met, known.schema.names, "left_semi")
+
+
+def absent(df: DataFrame, known: Table) -> DataFrame:
+    """The rows of a set that are not known."""
+    df, met = _probe(df, known)
+    return df.join(met, known.schema.names, "left_anti")
+
+
+def file_system(spark: SparkSession, path: str):
+    """A path of the JVM's and its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    target, fs = file_system(spark, path)
+    return fs.getContentSummary(target).getLength()
+
+
 def delete(spark: SparkSession, *paths: str) -> None:
     """Delete files of our own that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
+    if (files := _NOTED.get()) is not None:
+        files.difference_update(paths)
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, fs = file_system(spark, path)
+        fs.delete(target, True)
